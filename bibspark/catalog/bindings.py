@@ -225,7 +225,8 @@ class Tables:
     def _hop_rows(self) -> DataFrame:
         cited = self.nodes.select(F.col("paper_id").alias("cited_id"), F.col("p_type").alias("cited_type"))
         citing = self.nodes.select(
-            F.col("paper_id").alias("citing_id"), "title", "abstract", "year"
+            F.col("paper_id").alias("citing_id"), "title", "abstract", "year",
+            F.col("p_brand").alias("brand"),
         )
         rows = self.cite_rows.select("citing_id", "cited_id", "seq", "label", "context", "l_linestatus")
         return spread_join(spread_join(rows, cited, "cited_id"), citing, "citing_id")
@@ -264,6 +265,36 @@ class Tables:
     def cleaned(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return clean.clean_layers(self.seeds_meta, self.hop1, self.hop2, ["seq"])
 
+    @cached_property
+    def citations(self) -> DataFrame:
+        """Labelled citation rows: lines citing a seed."""
+        return self._hop_rows.where(F.col("cited_type") == SEED_TYPE).select(
+            F.col("context").alias("string"),
+            "label",
+            F.col("citing_id").alias("citingPaperId"),
+            F.col("cited_id").alias("citedPaperId"),
+            F.col("l_linestatus").alias("sectionName"),
+            F.col("title").alias("citingPaperTitle"),
+            "seq",
+        )
+
+    @cached_property
+    def hop2_edges(self) -> DataFrame:
+        """Second-layer rows with author ids as a JSON list, some of them broken."""
+        ids = F.when(F.col("label") == "unknown", F.lit('["broken')).otherwise(
+            F.to_json(F.array("brand", F.coalesce("title", F.lit("no title"))))
+        )
+        return self._hop_rows.where(F.col("cited_type") != SEED_TYPE).select(
+            F.col("cited_id").alias("hop1_paper_id"),
+            F.col("citing_id").alias("hop2_paper_id"),
+            F.col("title").alias("hop2_title"),
+            F.col("year").alias("hop2_year"),
+            F.col("abstract").alias("hop2_abstract"),
+            F.when(F.col("label").isNotNull(), ids).alias("hop2_author_ids"),
+            F.col("context").alias("citation_context"),
+            "seq",
+        )
+
     @cached_property
     def training_log(self) -> DataFrame:
         """One epoch per event."""
@@ -410,7 +441,7 @@ CTES: dict[str, tuple[str, str]] = {
         "cite_rows nodes",
         """
   SELECT r.citing_id, r.cited_id, r.seq, r.label, r.context, r.l_linestatus, t.p_type AS cited_type,
-         s.title, s.abstract, s.year
+         s.title, s.abstract, s.year, s.p_brand AS brand
   FROM cite_rows r JOIN nodes t ON t.paper_id = r.cited_id JOIN nodes s ON s.paper_id = r.citing_id""",
     ),
     "hop1": (
@@ -464,12 +495,84 @@ CTES: dict[str, tuple[str, str]] = {
   SELECT * FROM clean2_all c WHERE NOT EXISTS (
     SELECT 1 FROM clean1 a WHERE a.hop1_id = c.hop2_id AND a.hop0_id = c.hop1_id)""",
     ),
+    "citations": (
+        "hop_rows",
+        f"""
+  SELECT context AS string, label, citing_id AS citing_paper, cited_id AS cited_paper,
+         l_linestatus AS section, title AS citing_title, seq
+  FROM hop_rows WHERE cited_type = '{SEED_TYPE}'""",
+    ),
+    "hop2_edges": (
+        "hop_rows",
+        f"""
+  SELECT cited_id AS hop1_paper_id, citing_id AS hop2_paper_id, title AS hop2_title, year AS hop2_year,
+         abstract AS hop2_abstract, context AS citation_context, seq,
+         CASE WHEN label <> 'unknown' THEN [brand, coalesce(title, 'no title')] END AS author_ids
+  FROM hop_rows WHERE cited_type <> '{SEED_TYPE}'""",
+    ),
+    "active": (
+        "citations hop2_edges",
+        """
+  SELECT * FROM citations WHERE citing_paper IN (SELECT hop1_paper_id FROM hop2_edges)""",
+    ),
+    "median": (
+        "clean0 clean2",
+        """
+  SELECT CAST(coalesce(trunc(median(year)), 2018) AS INTEGER) AS y
+  FROM (SELECT year FROM clean0 UNION ALL SELECT hop1_year FROM clean1
+        UNION ALL SELECT hop2_year FROM clean2)""",
+    ),
+    "layers": (
+        "median",
+        """
+  SELECT paper_id, coalesce(title, 'Unknown Title') AS title,
+         coalesce(abstract, title, 'No abstract available') AS abstract,
+         coalesce(year, (SELECT y FROM median)) AS year, layer
+  FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rank, ord) AS rn FROM (
+    SELECT source_paper_id AS paper_id, title, abstract, year, 0 AS layer, 0 AS rank, 0 AS ord FROM clean0
+    UNION ALL SELECT hop1_id, hop1_title, hop1_abstract, hop1_year, 1, 1, seq FROM clean1
+    UNION ALL SELECT DISTINCT hop0_id, 'Unknown Title', 'No abstract available',
+                     (SELECT y FROM median), 0, 2, 0 FROM clean1
+    UNION ALL SELECT hop2_id, hop2_title, hop2_abstract, hop2_year, 2, 3, seq FROM clean2))
+  WHERE rn = 1""",
+    ),
+    "merged": (
+        "clean2",
+        """
+  SELECT src, dst, intent_label, coalesce(citation_text, 'Citation context missing.') AS citation_text
+  FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY rank) AS rn FROM (
+    SELECT hop1_id AS src, hop0_id AS dst, intent_label, citation_text, 0 AS rank FROM clean1
+    UNION ALL SELECT hop2_id, hop1_id, '-1', citation_text, 1 FROM clean2))
+  WHERE rn = 1""",
+    ),
+    "graph_nodes": (
+        "active",
+        """
+  SELECT id, grp, title FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, ord, grp NULLS FIRST,
+                                 title NULLS FIRST) AS rn FROM (
+      SELECT citing_paper AS id, 'hop1' AS grp, citing_title AS title, 0 AS rank, -seq AS ord FROM active
+      UNION ALL SELECT cited_paper, 'seed', NULL, 1, 0 FROM active
+      UNION ALL SELECT hop2_paper_id, 'hop2', hop2_title, 2, seq FROM hop2_edges
+      UNION ALL SELECT 'author_' || unnest(author_ids), 'author', NULL, 3, 0 FROM hop2_edges
+      UNION ALL SELECT hop1_paper_id, NULL, NULL, 4, 0 FROM hop2_edges)
+    WHERE id IS NOT NULL)
+  WHERE rn = 1""",
+    ),
+    "graph_edges": (
+        "active",
+        """
+  SELECT citing_paper AS source, cited_paper AS target, 'cites' AS kind FROM active
+  UNION SELECT hop2_paper_id, hop1_paper_id, 'cites' FROM hop2_edges
+  UNION SELECT 'author_' || a, hop2_paper_id, 'writes'
+        FROM (SELECT unnest(author_ids) AS a, hop2_paper_id FROM hop2_edges)""",
+    ),
     "training_log": (
         "",
         """
   SELECT event_id AS epoch, value AS loss,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS accuracy,
-         value / 1000 AS lambda
+         value / 1000 AS lam
   FROM events""",
     ),
     "vectors": (

@@ -1 +1,286 @@
-"""Queries."""
+"""Author, topic and collaboration queries."""
+
+from pyspark.sql import functions as F
+
+from bibspark.catalog.registry import query
+from bibspark.functions.text import STOPWORDS
+from bibspark.operators import analytics as a
+from bibspark.operators import clean
+
+AUTHOR = "A12"
+COLLABORATOR = "Supplier#000000007"
+KEYWORD = "Thatin"
+YEAR = 2023
+
+STOP_SQL = ", ".join(f"'{w}'" for w in STOPWORDS)
+STATS = "(SELECT author, year, count(*) AS paper_count FROM (SELECT year, unnest(authors) AS author FROM papers) GROUP BY ALL)"
+TOKENS = "(SELECT paper_id, year, unnest(string_split(lower(abstract), ' ')) AS token FROM papers)"
+WORDS = f"(SELECT * FROM {TOKENS} WHERE token NOT IN ({STOP_SQL}) AND length(token) > 3)"
+TOPICS = f"(SELECT year, token, count(*) AS count FROM {WORDS} GROUP BY ALL)"
+COLLABS = """(SELECT x.author AS author1, y.author AS author2, count(*) AS weight
+  FROM authorship x JOIN authorship y ON x.paper_id = y.paper_id AND x.author < y.author GROUP BY ALL)"""
+
+
+@query(
+    "explode_authors", "papers", "SELECT paper_id, year, unnest(authors) AS author FROM papers"
+)
+def explode_authors(t):
+    return a.explode_authors(t.papers)
+
+
+@query("author_stats", "papers", f"SELECT * FROM {STATS}")
+def author_stats(t):
+    return a.author_stats(t.papers)
+
+
+@query(
+    "author_stats_orders",
+    "authorship",
+    "SELECT author, year, count(*) AS paper_count FROM authorship GROUP BY ALL",
+)
+def author_stats_orders(t):
+    return t.authorship.groupBy("author", "year").agg(F.count(F.lit(1)).alias("paper_count"))
+
+
+@query(
+    "top_authors",
+    "papers",
+    f"SELECT author, CAST(sum(paper_count) AS BIGINT) AS total_papers FROM {STATS} GROUP BY author",
+)
+def top_authors(t):
+    return a.top_authors(a.author_stats(t.papers))
+
+
+@query(
+    "author_activity", "papers", f"SELECT year, paper_count FROM {STATS} WHERE author = '{AUTHOR}'"
+)
+def author_activity(t):
+    return a.author_activity(a.author_stats(t.papers), AUTHOR)
+
+
+@query(
+    "tokenize", "papers", f"SELECT year, token, count(*) AS n FROM {TOKENS} GROUP BY ALL"
+)
+def tokenize(t):
+    return a.tokenize(t.papers).groupBy("year", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "filter_tokens",
+    "papers",
+    f"SELECT paper_id, token, count(*) AS n FROM {WORDS} GROUP BY ALL",
+)
+def filter_tokens(t):
+    kept = a.filter_tokens(a.tokenize(t.papers))
+    return kept.groupBy("paper_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "doc_tokens",
+    "papers",
+    f"""
+SELECT paper_id, year, array_to_string(tokens, ' ') AS tokens FROM (
+  SELECT paper_id, year, list_filter(string_split(lower(abstract), ' '),
+         lambda w: length(w) > 3 AND NOT list_contains([{STOP_SQL}], w)) AS tokens FROM papers)
+WHERE len(tokens) > 0""",
+)
+def doc_tokens(t):
+    return a.doc_tokens(t.papers).withColumn("tokens", F.array_join("tokens", " "))
+
+
+@query("hashing_tf")
+def hashing_tf(t):
+    return a.hashing_tf(a.doc_tokens(t.papers)).select(
+        "paper_id", "year", F.col("tf_features").cast("string").alias("tf_features")
+    )
+
+
+@query("tfidf_features")
+def tfidf_features(t):
+    tf = a.hashing_tf(a.doc_tokens(t.papers))
+    return a.tfidf_features(tf).select(
+        "paper_id", "year", F.col("tfidf_features").cast("string").alias("tfidf_features")
+    )
+
+
+@query(
+    "tfidf",
+    "papers",
+    f"""
+, tf AS (SELECT paper_id, token, count(*) AS tf FROM {WORDS} GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+SELECT paper_id, token, tf,
+       round(tf * ln(((SELECT count(DISTINCT paper_id) FROM tf) + 1) / (df + 1)), 6) AS tfidf
+FROM tf JOIN df USING (token)""",
+)
+def tfidf(t):
+    return a.tfidf(t.papers).withColumn("tfidf", F.round("tfidf", 6))
+
+
+@query("temporal_topics", "papers", f"SELECT * FROM {TOPICS}")
+def temporal_topics(t):
+    return a.temporal_topics(t.papers)
+
+
+@query(
+    "top_topics_year",
+    "papers",
+    f"SELECT * FROM {TOPICS} WHERE year = {YEAR} ORDER BY count DESC, token LIMIT 10",
+)
+def top_topics_year(t):
+    return a.top_topics_year(a.temporal_topics(t.papers), YEAR)
+
+
+@query(
+    "keyword_trend",
+    "papers",
+    f"SELECT year, count FROM {TOPICS} WHERE token = lower('{KEYWORD}')",
+)
+def keyword_trend(t):
+    return a.keyword_trend(a.temporal_topics(t.papers), KEYWORD)
+
+
+@query(
+    "multi_author",
+    "papers",
+    "SELECT paper_id, array_to_string(authors, '|') AS authors FROM papers WHERE len(authors) > 1",
+)
+def multi_author(t):
+    return a.multi_author(t.papers).withColumn("authors", F.array_join("authors", "|"))
+
+
+@query(
+    "coauthor_pairs",
+    "authorship",
+    """
+SELECT x.paper_id, x.author AS author1, y.author AS author2, count(*) AS n
+FROM authorship x JOIN authorship y ON x.paper_id = y.paper_id AND x.author < y.author GROUP BY ALL""",
+)
+def coauthor_pairs(t):
+    return a.coauthor_pairs(t.authorship)
+
+
+@query("collaborations", "authorship", f"SELECT * FROM {COLLABS}")
+def collaborations(t):
+    return a.collaborations(t.authorship)
+
+
+@query(
+    "collaborations_papers",
+    "papers",
+    """
+, authorship AS (SELECT paper_id, unnest(authors) AS author FROM papers WHERE len(authors) > 1)
+SELECT x.author AS author1, y.author AS author2, count(*) AS weight
+FROM authorship x JOIN authorship y ON x.paper_id = y.paper_id AND x.author < y.author GROUP BY ALL""",
+)
+def collaborations_papers(t):
+    listed = a.multi_author(t.papers).select("paper_id", F.explode("authors").alias("author"))
+    return a.collaborations(listed)
+
+
+@query(
+    "top_collabs",
+    "authorship",
+    f"SELECT * FROM {COLLABS} ORDER BY weight DESC, author1, author2 LIMIT 10",
+)
+def top_collabs(t):
+    return a.top_collabs(a.collaborations(t.authorship))
+
+
+@query(
+    "search_abstract",
+    "papers",
+    f"SELECT paper_id, title, year, source FROM papers WHERE contains(abstract, lower('{KEYWORD}'))",
+)
+def search_abstract(t):
+    return a.search_abstract(t.papers, KEYWORD).select("paper_id", "title", "year", "source")
+
+
+@query("author_list", "papers", f"SELECT DISTINCT author FROM {STATS}")
+def author_list(t):
+    return a.author_list(a.author_stats(t.papers))
+
+
+@query(
+    "author_total",
+    "papers",
+    f"SELECT CAST(sum(paper_count) AS BIGINT) AS total_papers FROM {STATS} WHERE author = '{AUTHOR}'",
+)
+def author_total(t):
+    return a.author_total(a.author_stats(t.papers), AUTHOR)
+
+
+@query(
+    "collab_authors",
+    "authorship",
+    f"SELECT author1 AS author FROM {COLLABS} UNION SELECT author2 FROM {COLLABS}",
+)
+def collab_authors(t):
+    return a.collab_authors(a.collaborations(t.authorship))
+
+
+EGO = f"""(SELECT * FROM {COLLABS} WHERE author1 = '{COLLABORATOR}' OR author2 = '{COLLABORATOR}'
+  ORDER BY weight DESC, author1, author2 LIMIT 50)"""
+
+
+@query("ego_network", "authorship", f"SELECT * FROM {EGO}")
+def ego_network(t):
+    return a.ego_network(a.collaborations(t.authorship), COLLABORATOR)
+
+
+@query(
+    "ego_nodes",
+    "authorship",
+    f"""
+SELECT DISTINCT '{COLLABORATOR}' AS node, 'center' AS role FROM {EGO}
+UNION SELECT CASE WHEN author1 = '{COLLABORATOR}' THEN author2 ELSE author1 END, 'collaborator' FROM {EGO}""",
+)
+def ego_nodes(t):
+    return a.ego_nodes(a.ego_network(a.collaborations(t.authorship), COLLABORATOR), COLLABORATOR)
+
+
+@query(
+    "ego_edges",
+    "authorship",
+    f"""
+SELECT '{COLLABORATOR}' AS source, weight,
+       CASE WHEN author1 = '{COLLABORATOR}' THEN author2 ELSE author1 END AS target FROM {EGO}""",
+)
+def ego_edges(t):
+    return a.ego_edges(a.ego_network(a.collaborations(t.authorship), COLLABORATOR), COLLABORATOR)
+
+
+@query(
+    "papers_by_year", "papers", f"SELECT paper_id, title, year, source FROM papers WHERE year = {YEAR}"
+)
+def papers_by_year(t):
+    return a.papers_by_year(t.papers, YEAR).select("paper_id", "title", "year", "source")
+
+
+@query("authors_with_n", "papers", f"SELECT * FROM {STATS} WHERE paper_count = 1")
+def authors_with_n(t):
+    return a.authors_with_n(a.author_stats(t.papers), 1)
+
+
+REJECTS = """(SELECT DISTINCT title, abstract, array_to_string(authors, '|') AS authors, year, source
+  FROM raw_docs WHERE NOT (abstract IS NOT NULL AND year IS NOT NULL AND len(authors) > 0))"""
+
+
+@query(
+    "inspect_rejects",
+    "raw_docs",
+    f"""
+SELECT title, 'failed_validation' AS reason, source, (SELECT count(*) FROM {REJECTS}) AS total_rejected
+FROM {REJECTS}""",
+)
+def inspect_rejects(t):
+    return a.inspect_rejects(clean.rejected_papers(t.raw_papers))
+
+
+@query(
+    "sql_source_counts",
+    "papers",
+    "SELECT source, count(*) AS source_count FROM papers GROUP BY source",
+)
+def sql_source_counts(t):
+    return a.source_counts_sql(t.papers)

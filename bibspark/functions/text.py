@@ -103,11 +103,10 @@ def rebuild_text(inverted: Column) -> Column:
         )
     )
     ordered = F.array_sort(placed)
-    pairs = F.arrays_zip(
-        ordered.alias("here"), F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1))).alias("next")
-    )
-    kept = F.filter(pairs, lambda x: x["1"].isNull() | (x["1"]["pos"] != x["0"]["pos"]))
-    return F.array_join(F.transform(kept, lambda x: x["0"]["word"]), " ")
+    following = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+    pairs = F.arrays_zip(ordered.alias("here"), following.alias("next"))
+    kept = F.filter(pairs, lambda x: x["next"].isNull() | (x["next"]["pos"] != x["here"]["pos"]))
+    return F.array_join(F.transform(kept, lambda x: x["here"]["word"]), " ")
 
 
 @F.pandas_udf(StringType())
