@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.functions import text as tx
-from bibspark.operators import clean, metrics
+from bibspark.operators import clean, graph, metrics
 from bibspark.session import new_path
 from bibspark.skew import spread_join
 
@@ -160,14 +160,7 @@ class Tables:
             F.min("context").alias("context"),
         )
         years = self.nodes.select("paper_id", "year")
-        edges = spread_join(
-            edges, years.select(F.col("paper_id").alias("citing_id"), F.col("year").alias("citing_year")),
-            "citing_id",
-        )
-        edges = spread_join(
-            edges, years.select(F.col("paper_id").alias("cited_id"), F.col("year").alias("cited_year")),
-            "cited_id",
-        )
+        edges = graph.with_years(edges, years, "citing_id", "cited_id")
         return edges.select(
             "citing_id",
             "cited_id",
@@ -178,9 +171,7 @@ class Tables:
             "context",
             "citing_year",
             "cited_year",
-            F.greatest(
-                F.lit(1), F.coalesce(F.col("citing_year") - F.col("cited_year"), F.lit(1))
-            ).alias("delta_t"),
+            graph.delta_t_scaled(F.col("citing_year"), F.col("cited_year")).alias("delta_t"),
         )
 
     @cached_property
@@ -229,7 +220,7 @@ class Tables:
             F.col("p_brand").alias("brand"),
         )
         rows = self.cite_rows.select("citing_id", "cited_id", "seq", "label", "context", "l_linestatus")
-        return spread_join(spread_join(rows, cited, "cited_id"), citing, "citing_id")
+        return spread_join(spread_join(rows, cited, "cited_id"), citing, "citing_id", counted=rows)
 
     @cached_property
     def hop1(self) -> DataFrame:
@@ -262,9 +253,45 @@ class Tables:
         )
 
     @cached_property
-    def cleaned(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _cleaned(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return clean.clean_layers(self.seeds_meta, self.hop1, self.hop2, ["seq"])
 
+    @landed
+    def clean0(self) -> DataFrame:
+        return self._cleaned[0]
+
+    @landed
+    def clean1(self) -> DataFrame:
+        return self._cleaned[1]
+
+    @landed
+    def clean2(self) -> DataFrame:
+        return self._cleaned[2]
+
+    @cached_property
+    def cleaned(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self.clean0, self.clean1, self.clean2
+
+    def _imputed(self) -> tuple:
+        h0, h1, h2 = self.cleaned
+        mid = clean.median_year(h0.select("year"), h1.select("hop1_year"), h2.select("hop2_year"))
+        mid = mid.scalar()
+        return (
+            clean.impute_missing(h0, "abstract", "title", "year", mid),
+            clean.impute_missing(h1, "hop1_abstract", "hop1_title", "hop1_year", mid),
+            clean.impute_missing(h2, "hop2_abstract", "hop2_title", "hop2_year", mid),
+            mid,
+        )
+
+    @landed
+    def layers(self) -> DataFrame:
+        """(paper_id, title, abstract, year, layer) of the cleaned, imputed layers."""
+        return graph.assign_layers(*self._imputed())
+
+    @landed
+    def merged(self) -> DataFrame:
+        return graph.merge_edges(self.clean1, self.clean2)
+
     @cached_property
     def citations(self) -> DataFrame:
         """Labelled citation rows: lines citing a seed."""

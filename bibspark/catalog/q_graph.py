@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from bibspark.catalog.registry import query
-from bibspark.operators import clean
 from bibspark.operators import graph as g
 
-NODE = "P100"
+# The seed with most citation rows.
+NODE = "(SELECT cited_paper FROM active GROUP BY cited_paper ORDER BY count(*) DESC, cited_paper LIMIT 1)"
 PAPERS = "(SELECT citing_id AS paper_id FROM cites UNION SELECT cited_id FROM cites)"
 
 
@@ -36,19 +36,9 @@ def map_back_ids(t):
     return g.map_back_ids(dense.select("citing_idx", "cited_idx"), index).select("citing_id", "cited_id")
 
 
-def layered(t):
-    """Cleaned, imputed layers and their layered papers."""
-    h0, h1, h2 = t.cleaned
-    mid = clean.median_year(h0.select("year"), h1.select("hop1_year"), h2.select("hop2_year")).scalar()
-    h0 = clean.impute_missing(h0, "abstract", "title", "year", mid)
-    h1 = clean.impute_missing(h1, "hop1_abstract", "hop1_title", "hop1_year", mid)
-    h2 = clean.impute_missing(h2, "hop2_abstract", "hop2_title", "hop2_year", mid)
-    return h1, h2, g.assign_layers(h0, h1, h2, mid)
-
-
 @query("assign_layers", "layers", "SELECT * FROM layers")
 def assign_layers(t):
-    return layered(t)[2]
+    return g.assign_layers(*t._imputed())
 
 
 @query("merge_edges", "merged", "SELECT * FROM merged")
@@ -78,7 +68,7 @@ FROM (SELECT src, dst, CASE lower(intent_label) WHEN 'background' THEN 0 WHEN 'm
              WHEN 'result' THEN 2 ELSE -1 END AS code FROM merged)""",
 )
 def encode_intent(t):
-    coded = g.encode_intent(g.merge_edges(t.cleaned[1], t.cleaned[2]))
+    coded = g.encode_intent(t.merged)
     return coded.select("src", "dst", "intent_code", "train_mask")
 
 
@@ -90,9 +80,8 @@ SELECT src, dst, greatest(1, s.year - d.year) AS delta_t
 FROM merged JOIN layers s ON s.paper_id = src JOIN layers d ON d.paper_id = dst""",
 )
 def delta_t_scaled(t):
-    h1, h2, papers = layered(t)
-    edges = g.valid_edges(g.merge_edges(h1, h2).select("src", "dst"), papers)
-    return g.with_years(edges, papers).select(
+    edges = g.valid_edges(t.merged.select("src", "dst"), t.layers)
+    return g.with_years(edges, t.layers).select(
         "src", "dst", g.delta_t_scaled(F.col("citing_year"), F.col("cited_year")).alias("delta_t")
     )
 
@@ -190,8 +179,7 @@ def node_texts(t):
     "scaled_texts", "layers", "SELECT paper_id, title || ' [SEP] ' || abstract AS node_text FROM layers"
 )
 def scaled_texts(t):
-    papers = layered(t)[2]
-    return papers.select("paper_id", g.joined_text(F.col("title"), F.col("abstract")).alias("node_text"))
+    return t.layers.select("paper_id", g.joined_text(F.col("title"), F.col("abstract")).alias("node_text"))
 
 
 @query(
@@ -214,8 +202,7 @@ UNION ALL SELECT 'labelled_edges', count(*) FROM merged
 UNION ALL SELECT 'layer_' || CAST(layer AS VARCHAR), count(*) FROM layers GROUP BY layer""",
 )
 def layer_counts(t):
-    h1, h2, papers = layered(t)
-    return g.layer_counts(papers, g.encode_intent(g.merge_edges(h1, h2)))
+    return g.layer_counts(t.layers, g.encode_intent(t.merged))
 
 
 COUNTS = "(SELECT cited_id, count(*) AS n FROM cites GROUP BY cited_id)"
@@ -329,12 +316,11 @@ def seed_of(t):
     "cites",
     f"""
 , start AS (SELECT cited_id AS id FROM {COUNTS} ORDER BY n DESC, cited_id LIMIT 1),
-reach(id, lvl) USING KEY (id) AS (
+reach(id, lvl) AS (
   SELECT id, 0 FROM start
   UNION
-  SELECT c.citing_id, min(r.lvl) + 1 FROM cites c JOIN reach r ON r.id = c.cited_id
-  WHERE c.citing_id NOT IN (SELECT id FROM recurring.reach) GROUP BY c.citing_id)
-SELECT id AS paper_id, lvl AS level FROM reach""",
+  SELECT c.citing_id, r.lvl + 1 FROM cites c JOIN reach r ON r.id = c.cited_id)
+SELECT id AS paper_id, min(lvl) AS level FROM reach GROUP BY id""",
 )
 def snowball(t):
     return g.snowball(t.cites, seed_of(t))[0]
@@ -359,8 +345,15 @@ def graph_edges(t):
     return g.graph_tables(t.citations, t.hop2_edges)[1]
 
 
-TOUCHING = f"""(SELECT DISTINCT CASE WHEN source = '{NODE}' THEN target ELSE source END AS id
-  FROM graph_edges WHERE source = '{NODE}' OR target = '{NODE}')"""
+def busiest_seed(t):
+    rows = g.active_cluster(t.citations, t.hop2_edges)
+    counts = rows.groupBy("citedPaperId").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "citedPaperId").limit(1)
+    return top.select("citedPaperId").scalar()
+
+
+TOUCHING = f"""(SELECT DISTINCT CASE WHEN source = {NODE} THEN target ELSE source END AS id
+  FROM graph_edges WHERE source = {NODE} OR target = {NODE})"""
 
 
 @query(
@@ -369,11 +362,11 @@ TOUCHING = f"""(SELECT DISTINCT CASE WHEN source = '{NODE}' THEN target ELSE sou
     f"""
 SELECT id, grp AS "group", title FROM graph_nodes
 WHERE id IN (SELECT id FROM {TOUCHING}) AND
-  CASE (SELECT max(grp) FROM graph_nodes WHERE id = '{NODE}') WHEN 'seed' THEN grp = 'hop1'
+  CASE (SELECT max(grp) FROM graph_nodes WHERE id = {NODE}) WHEN 'seed' THEN grp = 'hop1'
        WHEN 'hop1' THEN grp IN ('hop2', 'author') WHEN 'hop2' THEN grp = 'author' ELSE false END""",
 )
 def drill_down(t):
-    return g.drill_down(*g.graph_tables(t.citations, t.hop2_edges), NODE)
+    return g.drill_down(*g.graph_tables(t.citations, t.hop2_edges), busiest_seed(t))
 
 
 @query(
@@ -383,12 +376,12 @@ def drill_down(t):
 , ends AS (SELECT source AS id, target AS other FROM graph_edges
            UNION ALL SELECT target, source FROM graph_edges)
 SELECT id, min(degree) AS degree FROM (
-  SELECT '{NODE}' AS id, 0 AS degree UNION ALL SELECT id, 1 FROM {TOUCHING}
+  SELECT {NODE} AS id, 0 AS degree UNION ALL SELECT id, 1 FROM {TOUCHING}
   UNION ALL SELECT other, 2 FROM ends WHERE id IN (SELECT id FROM {TOUCHING}))
 GROUP BY id""",
 )
 def two_hop_neighbourhood(t):
-    return g.two_hop_neighbourhood(g.graph_tables(t.citations, t.hop2_edges)[1], NODE)
+    return g.two_hop_neighbourhood(g.graph_tables(t.citations, t.hop2_edges)[1], busiest_seed(t))
 
 
 @query(

@@ -28,7 +28,7 @@ def sql_with(views: str, body: str) -> str:
     if not wanted:
         return body
     ctes = ",\n".join(f"{v} AS ({CTES[v][1].strip()})" for v in wanted)
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
 
 
 def query(name: str, views: str = "", sql: str | None = None):

@@ -54,7 +54,7 @@ def map_back_ids(edges: DataFrame, index: DataFrame) -> DataFrame:
     out = edges
     for end in ("citing", "cited"):
         names = index.select(F.col("idx").alias(f"{end}_idx"), F.col("paper_id").alias(f"{end}_id"))
-        out = spread_join(out, names, f"{end}_idx")
+        out = spread_join(out, names, f"{end}_idx", counted=edges)
     return out
 
 
@@ -124,7 +124,7 @@ def valid_edges(edges: DataFrame, papers: DataFrame, src: str = "src", dst: str
     """Edges whose two ends are known papers (one row per paper)."""
     out = edges
     for end in (src, dst):
-        out = spread_join(out, papers.select(F.col("paper_id").alias(end)), end, "left_semi")
+        out = spread_join(out, papers.select(F.col("paper_id").alias(end)), end, "left_semi", counted=edges)
     return out
 
 
@@ -156,7 +156,7 @@ def with_years(edges: DataFrame, papers: DataFrame, src: str = "src", dst: str =
     out = edges
     for end, name in ((src, "citing_year"), (dst, "cited_year")):
         years = papers.select(F.col("paper_id").alias(end), F.col("year").alias(name))
-        out = spread_join(out, years, end, "left")
+        out = spread_join(out, years, end, "left", counted=edges)
     return out
 
 
@@ -451,7 +451,7 @@ def graph_tables(citations: DataFrame, hop2_edges: DataFrame) -> tuple[DataFrame
 OPENS = {"seed": ["hop1"], "hop1": ["hop2", "author"], "hop2": ["author"]}
 
 
-def _touching(edges: DataFrame, node: str) -> DataFrame:
+def _touching(edges: DataFrame, node: str | Column) -> DataFrame:
     other = F.when(F.col("source") == node, F.col("target")).otherwise(F.col("source"))
     return (
         edges.where((F.col("source") == node) | (F.col("target") == node))
@@ -460,7 +460,7 @@ def _touching(edges: DataFrame, node: str) -> DataFrame:
     )
 
 
-def drill_down(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+def drill_down(nodes: DataFrame, edges: DataFrame, node: str | Column) -> DataFrame:
     """Neighbours of a node in the groups its own group opens."""
     group = nodes.where(F.col("id") == node).agg(F.max("group")).scalar()
     opened = F.lit(False)
@@ -469,14 +469,14 @@ def drill_down(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     return nodes.join(_touching(edges, node), "id", "left_semi").where(opened)
 
 
-def two_hop_neighbourhood(edges: DataFrame, node: str) -> DataFrame:
+def two_hop_neighbourhood(edges: DataFrame, node: str | Column) -> DataFrame:
     """(id, degree): the node (0), its neighbours (1) and theirs (2), least degree each."""
     near = _touching(edges, node)
     ends = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionByName(
         edges.select(F.col("target").alias("id"), F.col("source").alias("other"))
     )
     far = spread_join(ends, near, "id", "left_semi").select(F.col("other").alias("id"))
-    start = _touching(edges, node).agg(F.count(F.lit(1))).select(F.lit(node).alias("id"))
+    start = edges.sparkSession.range(1).select(F.lit(node).alias("id"))
     return (
         start.withColumn("degree", F.lit(0))
         .unionByName(near.withColumn("degree", F.lit(1)))

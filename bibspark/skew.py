@@ -25,6 +25,7 @@ def spread_join(
     on: str | list[str],
     how: str = "inner",
     rows: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join `facts` to `lookup` (one row per key) with hot keys split over tasks.
 
@@ -33,11 +34,13 @@ def spread_join(
     most ``count(facts) / rows_per_task`` keys can be hot, which bounds what is
     broadcast. `rows` names a lookup column that already holds the number of
     fact rows per key; without it the keys are counted first (map-side combined).
+    In a chain of joins, `counted` is the table the chain started from: its counts
+    bound those of every later step, and no step is computed twice for counting.
     """
     keys = [on] if isinstance(on, str) else list(on)
     limit = rows_per_task(facts)
     if rows is None:
-        sizes = facts.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        sizes = (facts if counted is None else counted).select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     else:
         sizes = lookup.select(*keys, F.col(rows).alias("_n"))
     hot = F.broadcast(
