@@ -1 +1 @@
-"""Queries."""
+"""Feature and model queries."""
