@@ -1 +1,203 @@
 """Feature and model queries."""
+
+from pyspark.sql import functions as F
+
+from bibspark.catalog.bindings import LAMBDA
+from bibspark.catalog.registry import query
+from bibspark.operators import features as f
+from bibspark.operators import graph as g
+
+MODEL_ITERATIONS = 10
+
+
+def spread(df, key):
+    """(key, position, value), for comparing vectors."""
+    return df.select(key, F.posexplode("vector").alias("position", "value")).withColumn(
+        "value", F.round("value", 6)
+    )
+
+
+@query("embed_text")
+def embed_text(t):
+    return f.embed(t.documents.select("doc_id", "text"), "text").drop("text")
+
+
+MEAN_SQL = """
+SELECT {key}, CAST(position AS INTEGER) AS position, round(avg(value), 6) AS value
+FROM (SELECT {group} AS {key}, unnest(vector) AS value, unnest(range(len(vector))) AS position
+      FROM {rows}) GROUP BY ALL"""
+
+
+@query(
+    "author_features",
+    "writes vectors",
+    MEAN_SQL.format(key="author_id", group="author_id", rows="writes JOIN vectors USING (paper_id)"),
+)
+def author_features(t):
+    return spread(f.author_features(t.writes, t.vectors), "author_id")
+
+
+@query(
+    "neighbour_mean",
+    "cites vectors",
+    MEAN_SQL.format(key="paper_id", group="cited_id", rows="cites JOIN vectors v ON v.paper_id = citing_id"),
+)
+def neighbour_mean(t):
+    return spread(f.neighbour_mean(t.cites, t.vectors), "paper_id")
+
+
+@query(
+    "edge_features",
+    "cites vectors",
+    """
+SELECT citing_id, cited_id, CAST(len(x) AS INTEGER) AS size, round(list_sum(x), 6) AS total,
+       x[1] AS citing_first, x[65] AS cited_first, x[129] AS edge_first, x[193] AS delta_t
+FROM (SELECT citing_id, cited_id,
+             list_concat(s.vector, d.vector, s.vector, [CAST(delta_t AS DOUBLE)]) AS x
+      FROM cites JOIN vectors s ON s.paper_id = citing_id JOIN vectors d ON d.paper_id = cited_id)""",
+)
+def edge_features(t):
+    x = F.col("features")
+    return f.edge_features(t.cites, t.vectors).select(
+        "citing_id",
+        "cited_id",
+        F.size(x).alias("size"),
+        F.round(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v), 6).alias("total"),
+        x[0].alias("citing_first"),
+        x[64].alias("cited_first"),
+        x[128].alias("edge_first"),
+        x[192].alias("delta_t"),
+    )
+
+
+ATTENTION = f"""
+, scored AS (
+  SELECT citing_id, cited_id, list_sum(list_transform(range(1, len(d.vector) + 1),
+             lambda i: d.vector[i] * s.vector[i] * s.vector[i]))
+         / sqrt(len(d.vector)) * exp(-{LAMBDA} * delta_t) AS score
+  FROM cites JOIN vectors s ON s.paper_id = citing_id JOIN vectors d ON d.paper_id = cited_id),
+att AS (
+  SELECT citing_id, cited_id, score,
+         exp(score - max(score) OVER w) / sum(exp(score)) OVER w * exp(max(score) OVER w) AS alpha
+  FROM scored WINDOW w AS (PARTITION BY cited_id))"""
+
+
+@query(
+    "temporal_attention",
+    "cites vectors",
+    ATTENTION + " SELECT citing_id, cited_id, round(score, 9) AS score, round(alpha, 6) AS alpha FROM att",
+)
+def temporal_attention(t):
+    att = f.temporal_attention(t.cites, t.vectors, LAMBDA)
+    return att.select(
+        "citing_id", "cited_id", F.round("score", 9).alias("score"), F.round("alpha", 6).alias("alpha")
+    )
+
+
+@query(
+    "attention_sum",
+    "cites vectors",
+    ATTENTION
+    + """
+SELECT paper_id, CAST(position AS INTEGER) AS position, round(sum(value), 6) AS value
+FROM (SELECT cited_id AS paper_id, alpha * unnest(vector) AS value, unnest(range(len(vector))) AS position
+      FROM att JOIN vectors v ON v.paper_id = citing_id) GROUP BY ALL""",
+)
+def attention_sum(t):
+    att = f.temporal_attention(t.cites, t.vectors, LAMBDA)
+    return spread(f.attention_sum(att, t.vectors), "paper_id")
+
+
+@query(
+    "class_weights",
+    "cites",
+    """
+, c AS (SELECT intent, 1 / count(*) AS inv FROM cites GROUP BY intent)
+SELECT intent, round(inv / (SELECT sum(inv) FROM c) * (SELECT count(*) FROM c), 6) AS weight FROM c""",
+)
+def class_weights(t):
+    return f.class_weights(t.cites, "intent").withColumn("weight", F.round("weight", 6))
+
+
+SPLIT = f"""(SELECT *, CASE WHEN digit < 8 THEN 'train' WHEN digit = 8 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, CAST('0x' || substr(md5(citing_id || '|' || cited_id || '|{f.SPLIT_SEED}'), 1, 8) AS BIGINT)
+               % 10 AS digit FROM cites))"""
+
+
+@query("edge_split", "cites", f"SELECT citing_id, cited_id, split FROM {SPLIT}")
+def edge_split(t):
+    return f.edge_split(t.cites).select("citing_id", "cited_id", "split")
+
+
+def labelled(t):
+    """Edges with features, split, intent code and key flag."""
+    coded = g.encode_intent(f.edge_split(t.cites), "intent")
+    return f.edge_features(coded, t.vectors)
+
+
+def predicted(t):
+    edges = labelled(t)
+    train = edges.where("split = 'train'")
+    return f.predict_edges(
+        edges,
+        f.fit_intent(train, iterations=MODEL_ITERATIONS),
+        f.fit_importance(train, iterations=MODEL_ITERATIONS),
+    )
+
+
+@query("intent_classifier")
+def intent_classifier(t):
+    pred = predicted(t)
+    return pred.groupBy("split", "intent", "predicted_intent").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("importance_model")
+def importance_model(t):
+    edges = labelled(t)
+    model = f.fit_importance(edges.where("split = 'train'"), iterations=MODEL_ITERATIONS)
+    return f.objective_history(t.spark, model)
+
+
+@query("predict_edges")
+def predict_edges(t):
+    return predicted(t).select(
+        "citing_id",
+        "cited_id",
+        "predicted_intent",
+        F.round("raw_importance", 6).alias("raw_importance"),
+        F.col("delta_t").cast("double").alias("delta_t"),
+    )
+
+
+@query(
+    "accuracy_mae",
+    "cites",
+    f"""
+SELECT split, round(avg(CASE WHEN guess = intent THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg(abs(importance - CASE WHEN is_key THEN 1.0 ELSE 0.0 END)), 6) AS mae, count(*) AS edges
+FROM (SELECT *, CASE WHEN importance > 0.5 THEN 'Method' ELSE 'Background' END AS guess FROM {SPLIT})
+GROUP BY split""",
+)
+def accuracy_mae(t):
+    guessed = f.edge_split(t.cites).withColumn(
+        "guess", F.when(F.col("importance") > 0.5, "Method").otherwise("Background")
+    )
+    report = f.accuracy_mae(guessed, "guess", "intent", "importance", "is_key")
+    return report.select(
+        "split", F.round("accuracy", 6).alias("accuracy"), F.round("mae", 6).alias("mae"), "edges"
+    )
+
+
+@query(
+    "training_log",
+    "training_log",
+    'SELECT max(epoch) AS epoch, arg_max(lam, epoch) AS "lambda" FROM training_log',
+)
+def training_log(t):
+    return f.last_decay(t.training_log)
+
+
+@query("project_2d")
+def project_2d(t):
+    flat = f.project_2d(t.vectors)
+    return flat.select("paper_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
