@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.functions import text as tx
-from bibspark.operators import clean, graph, metrics
+from bibspark.operators import clean, features, graph, metrics
 from bibspark.session import new_path
 from bibspark.skew import spread_join
 
@@ -332,6 +332,12 @@ class Tables:
             (F.col("value") / 1000).alias("lambda"),
         )
 
+    @landed
+    def labelled(self) -> DataFrame:
+        """Edges with features, split, intent code and key flag, for the models."""
+        coded = graph.encode_intent(features.edge_split(self.cites), "intent")
+        return features.edge_features(coded, self.vectors)
+
     @cached_property
     def vectors(self) -> DataFrame:
         """A 64-d vector per part; the embeddings are dealt out in turn."""

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from bibspark.catalog.bindings import LAMBDA
 from bibspark.catalog.registry import query
 from bibspark.operators import features as f
-from bibspark.operators import graph as g
 
 MODEL_ITERATIONS = 10
 
@@ -129,14 +128,8 @@ def edge_split(t):
     return f.edge_split(t.cites).select("citing_id", "cited_id", "split")
 
 
-def labelled(t):
-    """Edges with features, split, intent code and key flag."""
-    coded = g.encode_intent(f.edge_split(t.cites), "intent")
-    return f.edge_features(coded, t.vectors)
-
-
 def predicted(t):
-    edges = labelled(t)
+    edges = t.labelled
     train = edges.where("split = 'train'")
     return f.predict_edges(
         edges,
@@ -153,7 +146,7 @@ def intent_classifier(t):
 
 @query("importance_model")
 def importance_model(t):
-    edges = labelled(t)
+    edges = t.labelled
     model = f.fit_importance(edges.where("split = 'train'"), iterations=MODEL_ITERATIONS)
     return f.objective_history(t.spark, model)
 
