@@ -109,9 +109,14 @@ def rebuild_text(inverted: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: x["here"]["word"]), " ")
 
 
-@F.pandas_udf(StringType())
-def _decode_pieces(pieces: pd.Series) -> pd.Series:
-    return pieces.map(lambda ps: None if ps is None else "".join(html.unescape(p).strip() for p in ps))
+def _decode_pieces(pieces: Column) -> Column:
+    # A local function travels to the workers by value: they need not have this package.
+    def decode(lists: pd.Series) -> pd.Series:
+        return lists.map(
+            lambda ps: None if ps is None else "".join(html.unescape(p).strip() for p in ps)
+        )
+
+    return F.pandas_udf(decode, StringType())(pieces)
 
 
 def strip_markup(markup: Column) -> Column:
