@@ -332,6 +332,18 @@ class Tables:
             (F.col("value") / 1000).alias("lambda"),
         )
 
+    @cached_property
+    def _graph(self) -> tuple[DataFrame, DataFrame]:
+        return graph.graph_tables(self.citations, self.hop2_edges)
+
+    @landed
+    def graph_nodes(self) -> DataFrame:
+        return self._graph[0]
+
+    @landed
+    def graph_edges(self) -> DataFrame:
+        return self._graph[1]
+
     @landed
     def labelled(self) -> DataFrame:
         """Edges with features, split, intent code and key flag, for the models."""

@@ -366,7 +366,7 @@ WHERE id IN (SELECT id FROM {TOUCHING}) AND
        WHEN 'hop1' THEN grp IN ('hop2', 'author') WHEN 'hop2' THEN grp = 'author' ELSE false END""",
 )
 def drill_down(t):
-    return g.drill_down(*g.graph_tables(t.citations, t.hop2_edges), busiest_seed(t))
+    return g.drill_down(t.graph_nodes, t.graph_edges, busiest_seed(t))
 
 
 @query(
@@ -381,7 +381,7 @@ SELECT id, min(degree) AS degree FROM (
 GROUP BY id""",
 )
 def two_hop_neighbourhood(t):
-    return g.two_hop_neighbourhood(g.graph_tables(t.citations, t.hop2_edges)[1], busiest_seed(t))
+    return g.two_hop_neighbourhood(t.graph_edges, busiest_seed(t))
 
 
 @query(
@@ -393,7 +393,7 @@ UNION ALL SELECT 'edge', id FROM (SELECT source AS id FROM graph_edges WHERE kin
                                   UNION SELECT target FROM graph_edges WHERE kind = 'writes')""",
 )
 def property_filter(t):
-    nodes, edges = g.graph_tables(t.citations, t.hop2_edges)
+    nodes, edges = t.graph_nodes, t.graph_edges
     by_node = g.property_filter(nodes, edges, "node", "group", ["author", "hop1"])
     by_edge = g.property_filter(nodes, edges, "edge", "kind", ["writes"])
     return by_node.select(F.lit("node").alias("item"), "id").unionByName(

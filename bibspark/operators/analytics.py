@@ -11,8 +11,8 @@ from bibspark.skew import spread_join
 
 HASH_BUCKETS = 5000
 
-# Distinct authors per block when the pairs of one paper are spread over tasks.
-BLOCK = 200
+# Papers of more distinct authors are paired in blocks of this size.
+BLOCK = 1000
 
 
 def explode_authors(papers: DataFrame) -> DataFrame:
@@ -113,40 +113,52 @@ def multi_author(papers: DataFrame) -> DataFrame:
     return papers.where(F.size("authors") > 1).select("paper_id", "authors")
 
 
-def _author_blocks(authorship: DataFrame, block: int) -> DataFrame:
-    """(paper_id, author, m, blocks, b): distinct authors dealt into blocks of about `block`."""
-    distinct = authorship.groupBy("paper_id", "author").agg(F.count(F.lit(1)).alias("m"))
-    sizes = distinct.groupBy("paper_id").agg(F.count(F.lit(1)).alias("authors"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("authors") / F.lit(block)).cast("int"))
-    return spread_join(distinct, sizes, "paper_id", rows="authors").select(
-        "paper_id",
-        "author",
-        "m",
-        "blocks",
-        F.pmod(F.xxhash64("author"), F.col("blocks")).cast("int").alias("b"),
+def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """Pairs within papers of many authors.
+
+    A paper's authors are dealt into blocks and every pair of blocks is a join key
+    of its own, so the pairs of one paper are made by as many tasks as it has
+    block pairs.
+    """
+    sizes = rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("authors"))
+    dealt = spread_join(rows, sizes, "paper_id", rows="authors").withColumn(
+        "blocks", F.ceil(F.col("authors") / F.lit(block)).cast("int")
+    )
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("author"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select(
+        "paper_id", F.col("author").alias("author1"), F.col("m").alias("m1"), F.col("b").alias("i"),
+        every.alias("j"),
     )
+    right = dealt.select(
+        "paper_id", F.col("author").alias("author2"), F.col("m").alias("m2"), every.alias("i"),
+        F.col("b").alias("j"),
+    )
+    return left.join(right, ["paper_id", "i", "j"])
 
 
 def coauthor_pairs(authorship: DataFrame, block: int = BLOCK) -> DataFrame:
     """(paper_id, author1, author2, n) with author1 < author2.
 
     `n` is how many pairs the self-join of the author rows gives, since a name
-    may be listed more than once. Rows are first reduced to distinct authors; a
-    paper with many authors is cut into blocks, and each pair of blocks is its own
-    join key, so its pairs are made by as many tasks as it has block pairs.
+    may be listed more than once. Rows are first reduced to distinct authors, so
+    a paper of at most `block` authors is a bounded group and joined as it is;
+    larger papers are joined block by block.
     """
-    dealt = _author_blocks(authorship, block)
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = dealt.select(
-        "paper_id", F.col("author").alias("author1"), F.col("m").alias("m1"), F.col("b").alias("i"),
-        F.explode(every).alias("j"),
-    )
-    right = dealt.select(
-        "paper_id", F.col("author").alias("author2"), F.col("m").alias("m2"),
-        F.explode(every).alias("i"), F.col("b").alias("j"),
+    rows = authorship.groupBy("paper_id", "author").agg(F.count(F.lit(1)).alias("m"))
+    large = (
+        rows.groupBy("paper_id")
+        .agg(F.count(F.lit(1)).alias("authors"))
+        .where(F.col("authors") > block)
+        .select("paper_id")
     )
+    small = rows.join(large, "paper_id", "left_anti")
+    a = small.select("paper_id", F.col("author").alias("author1"), F.col("m").alias("m1"))
+    b = small.select("paper_id", F.col("author").alias("author2"), F.col("m").alias("m2"))
+    pairs = a.join(b, "paper_id")
+    blocks = _block_pairs(spread_join(rows, large, "paper_id", "left_semi"), block)
     return (
-        left.join(right, ["paper_id", "i", "j"])
+        pairs.unionByName(blocks.select(*pairs.columns))
         .where(F.col("author1") < F.col("author2"))
         .select("paper_id", "author1", "author2", (F.col("m1") * F.col("m2")).alias("n"))
     )

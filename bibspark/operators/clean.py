@@ -226,9 +226,9 @@ def tiered_authors(paper_ids: DataFrame, tiers: dict[str, DataFrame]) -> DataFra
             "paper_id", "author_id", "author_name", F.lit(name).alias("source"), F.lit(i).alias("tier")
         )
         rows = t if rows is None else rows.unionByName(t)
-    best = rows.groupBy("paper_id").agg(F.min("tier").alias("best"), F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("paper_id").agg(F.min("tier").alias("best"))
     wanted = paper_ids.select("paper_id").distinct()
-    kept = spread_join(rows, best.join(wanted, "paper_id", "left_semi"), "paper_id", rows="n").where(
+    kept = spread_join(rows, best.join(wanted, "paper_id", "left_semi"), "paper_id").where(
         F.col("tier") == F.col("best")
     )
     dummy = wanted.join(best, "paper_id", "left_anti").select(

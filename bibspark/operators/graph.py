@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.operators import clean
-from bibspark.session import checkpointed, land
+from bibspark.session import land
 from bibspark.skew import keep_first, spread_join
 
 # Training code of each intent; anything else is unlabelled.
@@ -14,6 +14,7 @@ INTENT_CODES = {"background": 0, "method": 1, "result": 2}
 UNLABELLED = -1
 MISSING_YEAR = 2020
 NO_CONTEXT = "No context provided"
+COMPACT_EVERY = 10
 
 
 def unique_papers(edges: DataFrame) -> DataFrame:
@@ -374,14 +375,15 @@ def snowball(
     """Breadth-first over incoming citations from a one-row (paper_id) seed.
 
     Returns (paper_id, level) and (cited_id, citing_id, context) of the reached
-    papers. Each level is one semi join against the frontier; levels are
-    checkpointed to the shared folder, so neither lineage nor the driver grows.
-    With `max_papers` the reached papers are the first by (level, id).
+    papers. Each level is one semi join against the frontier, landed in the
+    shared folder: lineage stays one level deep, a lost executor costs no more
+    than the level at hand, and nothing but an emptiness check reaches the
+    driver. With `max_papers` the reached papers are the first by (level, id).
     """
     level = 0
-    frontier = checkpointed(seed.select("paper_id", F.lit(0).alias("level")))
-    reached = frontier
-    while not frontier.isEmpty() and (max_papers is None or reached.count() < max_papers):
+    frontier = land(seed.select("paper_id", F.lit(0).alias("level")), "snowball")
+    reached, total = frontier, 1
+    while not frontier.isEmpty() and (max_papers is None or total < max_papers):
         level += 1
         cited = frontier.select(F.col("paper_id").alias("cited_id"))
         found = (
@@ -391,8 +393,12 @@ def snowball(
             .distinct()
             .join(reached, "paper_id", "left_anti")
         )
-        frontier = checkpointed(found.withColumn("level", F.lit(level)))
-        reached = checkpointed(reached.unionByName(frontier))
+        frontier = land(found.withColumn("level", F.lit(level)), "snowball")
+        reached = reached.unionByName(frontier)
+        if level % COMPACT_EVERY == 0:
+            reached = land(reached, "snowball")
+        if max_papers is not None:
+            total = reached.count()
     if max_papers is not None:
         reached = reached.orderBy("level", "paper_id").limit(max_papers)
     ids = reached.select("paper_id")

@@ -148,13 +148,10 @@ def fractional_scores(paper_h: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def author_rows(writes: DataFrame, paper_values: DataFrame) -> DataFrame:
-    """Author rows with a_i and the paper's values.
-
-    a_i is itself the number of author rows of a paper, so hot papers are
-    recognised without another count.
-    """
+    """Author rows with a_i and the paper's values."""
     per_paper = coauthor_count(writes).join(paper_values, "paper_id", "left")
-    return spread_join(writes.select("author_id", "paper_id"), per_paper, "paper_id", rows="a_i")
+    # Counted on the author rows: taking a_i from `per_paper` would compute its join twice.
+    return spread_join(writes.select("author_id", "paper_id"), per_paper, "paper_id")
 
 
 def hp_frac(edges: DataFrame, writes: DataFrame) -> DataFrame:
@@ -273,9 +270,7 @@ def author_fractional_sum(scores: DataFrame, authors: DataFrame) -> DataFrame:
     """
     sized = authors.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
     per_paper = sized.join(scores, "paper_id")
-    rows = spread_join(
-        authors.where("author_id is not null and author_id <> ''"), per_paper, "paper_id", rows="n"
-    )
+    rows = spread_join(authors.where("author_id is not null and author_id <> ''"), per_paper, "paper_id")
     sums = rows.groupBy("author_id").agg(
         F.max_by(
             F.coalesce("author_name", F.concat(F.lit("Author_"), F.col("author_id"))),

@@ -52,8 +52,3 @@ def land(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
