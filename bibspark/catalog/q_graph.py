@@ -80,8 +80,8 @@ SELECT src, dst, greatest(1, s.year - d.year) AS delta_t
 FROM merged JOIN layers s ON s.paper_id = src JOIN layers d ON d.paper_id = dst""",
 )
 def delta_t_scaled(t):
-    edges = g.valid_edges(t.merged.select("src", "dst"), t.layers)
-    return g.with_years(edges, t.layers).select(
+    edges = g.with_years(t.merged.select("src", "dst"), t.layers, how="inner")
+    return edges.select(
         "src", "dst", g.delta_t_scaled(F.col("citing_year"), F.col("cited_year")).alias("delta_t")
     )
 

@@ -113,18 +113,18 @@ def multi_author(papers: DataFrame) -> DataFrame:
     return papers.where(F.size("authors") > 1).select("paper_id", "authors")
 
 
-def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """Pairs within papers of many authors.
+def _block_pairs(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """Pairs within the papers of `large` (paper_id, authors).
 
     A paper's authors are dealt into blocks and every pair of blocks is a join key
     of its own, so the pairs of one paper are made by as many tasks as it has
     block pairs.
     """
-    sizes = rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("authors"))
-    dealt = spread_join(rows, sizes, "paper_id", rows="authors").withColumn(
-        "blocks", F.ceil(F.col("authors") / F.lit(block)).cast("int")
+    blocks = F.ceil(F.col("authors") / F.lit(block)).cast("int")
+    dealt = spread_join(rows, large, "paper_id", rows="authors").select(
+        "paper_id", "author", "m", blocks.alias("blocks"),
+        F.pmod(F.xxhash64("author"), blocks).cast("int").alias("b"),
     )
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("author"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = dealt.select(
         "paper_id", F.col("author").alias("author1"), F.col("m").alias("m1"), F.col("b").alias("i"),
@@ -150,13 +150,12 @@ def coauthor_pairs(authorship: DataFrame, block: int = BLOCK) -> DataFrame:
         rows.groupBy("paper_id")
         .agg(F.count(F.lit(1)).alias("authors"))
         .where(F.col("authors") > block)
-        .select("paper_id")
     )
-    small = rows.join(large, "paper_id", "left_anti")
+    small = rows.join(large.select("paper_id"), "paper_id", "left_anti")
     a = small.select("paper_id", F.col("author").alias("author1"), F.col("m").alias("m1"))
     b = small.select("paper_id", F.col("author").alias("author2"), F.col("m").alias("m2"))
     pairs = a.join(b, "paper_id")
-    blocks = _block_pairs(spread_join(rows, large, "paper_id", "left_semi"), block)
+    blocks = _block_pairs(rows, large, block)
     return (
         pairs.unionByName(blocks.select(*pairs.columns))
         .where(F.col("author1") < F.col("author2"))

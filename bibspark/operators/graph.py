@@ -152,12 +152,14 @@ def delta_t_default(citing_year: Column, cited_year: Column, default: int = MISS
     return F.greatest(F.lit(0), F.coalesce(citing_year, d) - F.coalesce(cited_year, d))
 
 
-def with_years(edges: DataFrame, papers: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Edges with the year of both ends."""
+def with_years(
+    edges: DataFrame, papers: DataFrame, src: str = "src", dst: str = "dst", how: str = "left"
+) -> DataFrame:
+    """Edges with the year of both ends; ``how="inner"`` also drops edges of unknown papers."""
     out = edges
     for end, name in ((src, "citing_year"), (dst, "cited_year")):
         years = papers.select(F.col("paper_id").alias(end), F.col("year").alias(name))
-        out = spread_join(out, years, end, "left", counted=edges)
+        out = spread_join(out, years, end, how, counted=edges)
     return out
 
 

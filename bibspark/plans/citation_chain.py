@@ -36,7 +36,7 @@ def prepare_graph(
 
     papers = spark.read.parquet(f"{out}/papers")
     merged = spark.read.parquet(f"{out}/merged_edges")
-    edges = graph.with_years(graph.valid_edges(merged, papers), papers)
+    edges = graph.with_years(merged, papers, how="inner")
     edges = graph.encode_intent(edges).select(
         F.col("src").alias("citing_id"),
         F.col("dst").alias("cited_id"),
