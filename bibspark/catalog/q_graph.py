@@ -352,6 +352,22 @@ def busiest_seed(t):
     return top.select("citedPaperId").scalar()
 
 
+@query(
+    "graph_tables",
+    "graph_nodes graph_edges",
+    """
+SELECT 'node' AS item, grp AS kind, count(*) AS count FROM graph_nodes GROUP BY grp
+UNION ALL SELECT 'edge', kind, count(*) FROM graph_edges GROUP BY kind""",
+)
+def graph_tables(t):
+    nodes, edges = g.graph_tables(t.citations, t.hop2_edges)
+    n = F.count(F.lit(1)).alias("count")
+    return (
+        nodes.groupBy(F.col("group").alias("kind")).agg(n).select(F.lit("node").alias("item"), "kind", "count")
+        .unionByName(edges.groupBy("kind").agg(n).select(F.lit("edge").alias("item"), "kind", "count"))
+    )
+
+
 TOUCHING = f"""(SELECT DISTINCT CASE WHEN source = {NODE} THEN target ELSE source END AS id
   FROM graph_edges WHERE source = {NODE} OR target = {NODE})"""
 

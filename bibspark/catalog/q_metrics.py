@@ -320,6 +320,16 @@ def fallback_join(t):
     )
 
 
+@query(
+    "resolve_columns",
+    "seeds_meta",
+    "SELECT source_paper_id AS paper_id, authors FROM seeds_meta",
+)
+def resolve_columns(t):
+    names = m.resolve_columns(t.seeds_meta.columns, m.META_ALIASES)
+    return t.seeds_meta.select(F.col(names["id"]).alias("paper_id"), F.col(names["authors"]).alias("authors"))
+
+
 @query(
     "influence_share",
     "predictions coauthors",

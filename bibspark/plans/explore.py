@@ -1,7 +1,7 @@
 """Questions to the paper index from the command line.
 
     spark-submit -m bibspark.plans.explore --index DIR search quantum
-    … author "Alice Smith" | topic quantum | network "Alice Smith" | year 2023 | rejects
+    … author "Ann Smith" | topic quantum | network "Ann Smith" | year 2023 | rejects
 """
 
 from __future__ import annotations
