@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.functions import text as tx
+from bibspark.catalog import payloads
 from bibspark.operators import clean, features, graph, metrics
 from bibspark.session import new_path
 from bibspark.skew import spread_join
@@ -84,6 +84,10 @@ class Tables:
         valid = clean.valid_papers(self.raw_docs)
         return clean.final_layout(clean.dedup_papers(clean.normalise(valid), ["doc_id"]))
 
+    @landed
+    def inverted(self) -> DataFrame:
+        return payloads.inverted_docs(self)
+
     # ---- orders as papers with suppliers as authors ------------------------
     @landed
     def authorship(self) -> DataFrame:

@@ -437,7 +437,7 @@ SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w
 FROM documents""",
 )
 def rebuild_abstract(t):
-    return pay.inverted_docs(t).select("doc_id", tx.rebuild_text(F.col("inverted")).alias("abstract"))
+    return t.inverted.select("doc_id", tx.rebuild_text(F.col("inverted")).alias("abstract"))
 
 
 @query(

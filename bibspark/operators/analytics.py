@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.functions import text as tx
+from bibspark.session import land
 from bibspark.skew import spread_join
 
 HASH_BUCKETS = 5000
@@ -82,13 +83,22 @@ def tfidf_features(tf: DataFrame) -> DataFrame:
 
 
 def tfidf(papers: DataFrame, stopwords: list[str] = tx.STOPWORDS) -> DataFrame:
-    """Exact-token TF-IDF: (paper_id, token, tf, tfidf)."""
-    words = filter_tokens(tokenize(papers), stopwords)
-    tf = words.groupBy("paper_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """Exact-token TF-IDF: (paper_id, token, tf, tfidf).
+
+    Term counts are landed, so texts are split once for the three reads of them.
+    """
+    words = papers.select(
+        "paper_id", F.posexplode(tx.topic_tokens(F.col("abstract"), stopwords)).alias("pos", "token")
+    )
+    counts = words.groupBy("paper_id", "token").agg(
+        F.count(F.lit(1)).alias("tf"), F.count_if(F.col("pos") == 0).alias("first")
+    )
+    tf = land(counts, "term_counts")
+    # Each paper with any token has one at position 0.
+    n = tf.agg(F.sum("first"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = papers.where(F.size(tx.topic_tokens(F.col("abstract"), stopwords)) > 0).agg(F.count(F.lit(1)))
     idf = df.withColumn("idf", F.log((n.scalar() + 1) / (F.col("df") + 1)))
-    return spread_join(tf, idf, "token", rows="df").select(
+    return spread_join(tf.select("paper_id", "token", "tf"), idf, "token", rows="df").select(
         "paper_id", "token", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")
     )
 

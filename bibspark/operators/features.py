@@ -151,11 +151,8 @@ def attention_sum(attention: DataFrame, vectors: DataFrame) -> DataFrame:
     """(paper_id, vector): the attention-weighted sum of the citing papers' vectors."""
     citing = vectors.select(F.col("paper_id").alias("citing_id"), "vector")
     rows = spread_join(attention, citing, "citing_id")
-    weighted = F.transform(
-        F.arrays_zip(F.col("vector").alias("x"), F.array_repeat(F.col("alpha"), F.size("vector")).alias("a")),
-        lambda z: z["x"] * z["a"],
-    )
-    total = Summarizer.metrics("sum").summary(array_to_vector(weighted))
+    # The summarizer weighs each vector, so the sum is the weighted one.
+    total = Summarizer.metrics("sum").summary(array_to_vector(F.col("vector")), F.col("alpha"))
     return (
         rows.groupBy("cited_id")
         .agg(total.alias("_s"))

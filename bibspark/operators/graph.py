@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibspark.operators import clean
 from bibspark.session import land
-from bibspark.skew import keep_first, spread_join
+from bibspark.skew import keep_first, key_counts, spread_join
 
 # Training code of each intent; anything else is unlabelled.
 INTENT_CODES = {"background": 0, "method": 1, "result": 2}
@@ -385,11 +385,14 @@ def snowball(
     level = 0
     frontier = land(seed.select("paper_id", F.lit(0).alias("level")), "snowball")
     reached, total = frontier, 1
+    sizes = land(key_counts(edges, ["cited_id"]), "snowball_sizes")
     while not frontier.isEmpty() and (max_papers is None or total < max_papers):
         level += 1
         cited = frontier.select(F.col("paper_id").alias("cited_id"))
         found = (
-            spread_join(edges.select("cited_id", "citing_id"), cited, "cited_id", "left_semi")
+            spread_join(
+                edges.select("cited_id", "citing_id"), cited, "cited_id", "left_semi", sizes=sizes
+            )
             .select(F.col("citing_id").alias("paper_id"))
             .na.drop()
             .distinct()

@@ -19,6 +19,11 @@ def _part_of(df: DataFrame) -> Column:
     return F.pmod(F.xxhash64(*plain), F.coalesce(F.col("_parts"), F.lit(1)))
 
 
+def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _n): rows per key."""
+    return df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def spread_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -26,6 +31,7 @@ def spread_join(
     how: str = "inner",
     rows: str | None = None,
     counted: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join `facts` to `lookup` (one row per key) with hot keys split over tasks.
 
@@ -36,13 +42,14 @@ def spread_join(
     fact rows per key; without it the keys are counted first (map-side combined).
     In a chain of joins, `counted` is the table the chain started from: its counts
     bound those of every later step, and no step is computed twice for counting.
+    `sizes` are such counts at hand, as (keys, _n), for a join that is repeated.
     """
     keys = [on] if isinstance(on, str) else list(on)
     limit = rows_per_task(facts)
-    if rows is None:
-        sizes = (facts if counted is None else counted).select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    else:
+    if sizes is None and rows is not None:
         sizes = lookup.select(*keys, F.col(rows).alias("_n"))
+    elif sizes is None:
+        sizes = key_counts(facts if counted is None else counted, keys)
     hot = F.broadcast(
         sizes.where(F.col("_n") > limit).select(
             *keys, F.ceil(F.col("_n") / F.lit(limit)).cast("bigint").alias("_parts")
