@@ -60,18 +60,25 @@ def scan_citations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_partitioned(
-    df: DataFrame, path: str, by: str = "year", sort: list[str] | None = None, mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    by: str = "year",
+    sort: list[str] | None = None,
+    mode: str = "overwrite",
+    only_present: bool = False,
 ) -> None:
     """Parquet folders per value of `by`.
 
     Rebalancing groups a value's rows into few files and lets adaptive execution
     split a value that holds too much for one task. Rows are sorted inside files
-    by `sort`, so equality filters skip row groups.
+    by `sort`, so equality filters skip row groups. Overwriting replaces the whole
+    table, or with `only_present` just the values that occur in `df`.
     """
     out = df.hint("rebalance", by)
     if sort:
         out = out.sortWithinPartitions(by, *sort)
-    out.write.mode(mode).partitionBy(by).parquet(path)
+    scope = "dynamic" if only_present else "static"
+    out.write.mode(mode).option("partitionOverwriteMode", scope).partitionBy(by).parquet(path)
 
 
 def write_plain(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -79,6 +79,17 @@ def test_partition_pruning(spark, index):
     assert "PartitionFilters" in plan and "2023" in plan.split("PartitionFilters")[1].split("]")[0]
 
 
+def test_overwrite_scope(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([("a", 2000), ("b", 2001)], "x string, year int")
+    new = spark.createDataFrame([("c", 2001)], "x string, year int")
+    tables.write_partitioned(old, path)
+    tables.write_partitioned(new, path, only_present=True)
+    assert rows(spark.read.parquet(path)) == [("a", 2000), ("c", 2001)]
+    tables.write_partitioned(new, path)
+    assert rows(spark.read.parquet(path)) == [("c", 2001)]
+
+
 def test_validation_edges(spark, rows):
     raw = spark.createDataFrame(
         [("t", "a", ["x"], 2000, "s"), ("t", None, ["x"], 2000, "s"), ("t", None, ["x"], 2000, "s"),
