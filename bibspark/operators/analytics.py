@@ -128,10 +128,10 @@ def _block_pairs(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
 
     A paper's authors are dealt into blocks and every pair of blocks is a join key
     of its own, so the pairs of one paper are made by as many tasks as it has
-    block pairs.
+    block pairs. Dealing itself is linear in the distinct authors of a paper.
     """
     blocks = F.ceil(F.col("authors") / F.lit(block)).cast("int")
-    dealt = spread_join(rows, large, "paper_id", rows="authors").select(
+    dealt = rows.join(large, "paper_id").select(
         "paper_id", "author", "m", blocks.alias("blocks"),
         F.pmod(F.xxhash64("author"), blocks).cast("int").alias("b"),
     )

@@ -277,7 +277,9 @@ def referential_cascade(
     """First-layer rows that cite a known seed; second-layer rows that cite a kept first-layer paper."""
     seeds = hop0.select(F.col("source_paper_id").alias("hop0_id")).distinct()
     kept1 = spread_join(hop1, seeds, "hop0_id", "left_semi")
-    kept2 = spread_join(hop2, kept1.select("hop1_id").distinct(), "hop1_id", "left_semi")
+    kept2 = spread_join(
+        hop2, kept1.select("hop1_id").distinct(), "hop1_id", "left_semi"
+    )
     return kept1, kept2
 
 

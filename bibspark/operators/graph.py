@@ -125,7 +125,8 @@ def valid_edges(edges: DataFrame, papers: DataFrame, src: str = "src", dst: str
     """Edges whose two ends are known papers (one row per paper)."""
     out = edges
     for end in (src, dst):
-        out = spread_join(out, papers.select(F.col("paper_id").alias(end)), end, "left_semi", counted=edges)
+        known = papers.select(F.col("paper_id").alias(end))
+        out = spread_join(out, known, end, "left_semi", counted=edges)
     return out
 
 

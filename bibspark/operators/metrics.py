@@ -232,9 +232,8 @@ def importance_scores(edges: DataFrame, importance: str = "importance") -> DataF
 def relative_importance(edges: DataFrame, weight: str = "semantic_weight") -> DataFrame:
     """Adds the neighbourhood size of the cited paper and weight · size."""
     sizes = edges.groupBy("cited_id").agg(F.count(F.lit(1)).alias("neighbourhood_size"))
-    return spread_join(edges, sizes, "cited_id", rows="neighbourhood_size").withColumn(
-        "relative_importance", F.col(weight) * F.col("neighbourhood_size")
-    )
+    sized = spread_join(edges, sizes, "cited_id", rows="neighbourhood_size")
+    return sized.withColumn("relative_importance", F.col(weight) * F.col("neighbourhood_size"))
 
 
 def edge_scores(edges: DataFrame, weight: str = "semantic_weight") -> DataFrame:

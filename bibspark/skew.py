@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One task is meant to join at most this many rows of a single key.
+# A key is hot when it has more rows than this and more than its share of a thousandth.
 ROWS_PER_TASK = 1_000_000
+HOT_KEYS = 1000
 
 
 def rows_per_task(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("bibspark.rowsPerTask", str(ROWS_PER_TASK)))
 
 
-def _part_of(df: DataFrame) -> Column:
-    # Hash of the whole row: a recomputed task puts each row where it was before.
-    plain = [F.col(f.name) for f in df.schema.fields if f.dataType.typeName() != "map"]
-    return F.pmod(F.xxhash64(*plain), F.coalesce(F.col("_parts"), F.lit(1)))
-
-
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _n): rows per key."""
+    """(keys, _n): rows per key, combined on the map side."""
     return df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def hot_keys(sizes: DataFrame, limit: int) -> DataFrame:
+    """The keys of (keys, _n) that one task should not join alone: fewer than HOT_KEYS.
+
+    Fewer than a thousand keys can each hold more than a thousandth of all rows,
+    whatever the data, which bounds every broadcast made from them.
+    """
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    return sizes.where(F.col("_n") > F.greatest(F.lit(float(limit)), total / HOT_KEYS)).drop("_n")
+
+
 def spread_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -33,35 +38,29 @@ def spread_join(
     counted: DataFrame | None = None,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Join `facts` to `lookup` (one row per key) with hot keys split over tasks.
-
-    A key with more than ``rows_per_task`` fact rows is divided into parts; its
-    single lookup row is repeated once per part. Cold keys are not repeated. At
-    most ``count(facts) / rows_per_task`` keys can be hot, which bounds what is
-    broadcast. `rows` names a lookup column that already holds the number of
-    fact rows per key; without it the keys are counted first (map-side combined).
-    In a chain of joins, `counted` is the table the chain started from: its counts
-    bound those of every later step, and no step is computed twice for counting.
-    `sizes` are such counts at hand, as (keys, _n), for a join that is repeated.
+    """Join `facts` to `lookup` (one row per key) without piling a hot key on one task.
+
+    Rows of hot keys stay where they are and meet a broadcast of their few lookup
+    rows, so they are not shuffled at all, copies included; all other rows take
+    the join Spark plans. Without hot keys the first branch is empty and dropped
+    at run time.
+
+    `rows` names a lookup column that already holds the number of fact rows per
+    key; without it the keys are counted. In a chain of joins, `counted` is the
+    table the chain started from: its counts bound those of every later step, and
+    no step is computed again for counting. `sizes` are such counts at hand, as
+    (keys, _n), for a join that is repeated.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    limit = rows_per_task(facts)
     if sizes is None and rows is not None:
         sizes = lookup.select(*keys, F.col(rows).alias("_n"))
     elif sizes is None:
         sizes = key_counts(facts if counted is None else counted, keys)
-    hot = F.broadcast(
-        sizes.where(F.col("_n") > limit).select(
-            *keys, F.ceil(F.col("_n") / F.lit(limit)).cast("bigint").alias("_parts")
-        )
-    )
-    left = facts.join(hot, keys, "left")
-    left = left.withColumn("_part", _part_of(facts)).drop("_parts")
-    right = lookup.join(hot, keys, "left").withColumn(
-        "_part",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_parts"), F.lit(1)) - 1)),
-    )
-    return left.join(right.drop("_parts"), [*keys, "_part"], how).drop("_part")
+    hot = F.broadcast(hot_keys(sizes, rows_per_task(facts)))
+    hot_lookup = F.broadcast(lookup.join(hot, keys, "left_semi"))
+    in_place = facts.join(hot, keys, "left_semi").join(hot_lookup, keys, how)
+    shuffled = facts.join(hot, keys, "left_anti").join(lookup, keys, how)
+    return in_place.unionByName(shuffled)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:
