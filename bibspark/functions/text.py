@@ -104,7 +104,7 @@ def rebuild_text(inverted: Column) -> Column:
     )
     # sort_array compares natively; array_sort would run a comparator lambda per pair.
     ordered = F.sort_array(placed)
-    following = F.slice(ordered, 2, 2**31 - 1)
+    following = F.slice(ordered, 2, 1 << 30)
     pairs = F.arrays_zip(ordered.alias("here"), following.alias("next"))
     kept = F.filter(pairs, lambda x: x["next"].isNull() | (x["next"]["pos"] != x["here"]["pos"]))
     return F.array_join(F.transform(kept, lambda x: x["here"]["word"]), " ")
