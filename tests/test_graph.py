@@ -149,6 +149,17 @@ def test_models_beat_the_majority(spark):
     assert abs(sum(weights.values()) - 3) < 1e-9 and weights[0] < weights[1]
 
 
+def test_projection_is_the_leading_components(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(50, 6)) * np.array([5, 3, 1, 0.5, 0.2, 0.1])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(data)], "paper_id int, vector array<double>")
+    got = np.array([[r.x, r.y] for r in f.project_2d(df).orderBy("paper_id").collect()])
+    axes = np.linalg.svd(data - data.mean(axis=0))[2][:2]
+    for i in range(2):
+        wanted = data @ axes[i]
+        assert np.allclose(got[:, i], wanted) or np.allclose(got[:, i], -wanted)
+
+
 def reply(hop1, *ids):
     data = [{"contexts": [f"ctx {i}", "more"] if i != "noctx" else [], "citingPaper": {
         "paperId": i, "title": f"T{i}", "year": 2000, "abstract": "A",
