@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm import quality, token_counts, token_files, url_filter
+from bibspark.llm import mixing, neighbours, quality, simhash, token_counts, token_files, url_filter
 from bibspark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,9 @@ URL_RULES = [
 ]
 
 
+MIX_WEIGHTS, MIX_SHARE = [3.0, 1.0, 2.0], 1.5
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -41,6 +44,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_simhash_groups")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 @query("op3_quality_trees")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -91,3 +99,72 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query(
+    "op7_pareto_mix",
+    r"""
+    WITH docs AS (
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5)
+          / 4503599627370496.0 AS u
+      FROM documents),
+    sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+    weighed AS (
+      SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+        WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM sums),
+    levels AS (
+      SELECT *, 2.0::DOUBLE * source_size / weight AS full_at,
+        (1.5::DOUBLE * sum(source_size) OVER ()
+          - coalesce(sum(2.0::DOUBLE * source_size) OVER (by_need ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / sum(weight) OVER (by_need ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+      FROM weighed WINDOW by_need AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
+    aims AS (
+      SELECT source, source_size, least(2.0::DOUBLE * source_size,
+        weight * (SELECT min_by(rate, full_at) FROM levels WHERE rate <= full_at)) AS target FROM levels),
+    rated AS (
+      SELECT d.*, a.source_size, a.target,
+        CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0.0 END AS rate
+      FROM docs d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source),
+    ranked AS (
+      SELECT *, floor(rate)::INT AS certain, rate - floor(rate) AS p,
+        CASE WHEN rate - floor(rate) > 0
+          THEN (u / (1 - u)) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) ELSE 1e300 END AS odds
+      FROM rated),
+    summed AS (
+      SELECT *, target - sum(size * certain) OVER (PARTITION BY source) AS missing,
+        sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) AS up_to FROM ranked),
+    firsts AS (SELECT *, p > 0 AND up_to <= missing AS taken_first FROM summed),
+    lefts AS (
+      SELECT *, missing - coalesce(sum(size) FILTER (taken_first) OVER (PARTITION BY source), 0) AS rest FROM firsts),
+    lasts AS (
+      SELECT source, arg_min(doc_id, struct_pack(x := abs(rest - size), o := odds, i := doc_id)) AS last_id
+      FROM lefts WHERE NOT taken_first AND certain < 2 AND size > 0 AND abs(rest - size) < abs(rest) GROUP BY source)
+    SELECT l.doc_id, l.size, l.source_size, l.target,
+      (l.size * (l.certain + CASE WHEN l.taken_first OR l.doc_id = s.last_id THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM lefts l LEFT JOIN lasts s ON l.source IS NOT DISTINCT FROM s.source""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    mix = mixing.mix(sizes, MIX_WEIGHTS, MIX_SHARE)
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query(
+    "op9_one_bit_codes",
+    """
+    WITH rows AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    good AS (
+      SELECT vec_id, e FROM rows
+      WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    pairs AS (
+      SELECT q.vec_id AS query_id, r.vec_id,
+        sqrt(list_sum(list_transform(list_zip(q.e, r.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
+      FROM good q JOIN good r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
