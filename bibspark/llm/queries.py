@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm import mixing, neighbours, quality, simhash, token_counts, token_files, url_filter
+from bibspark.llm import (
+    decontaminate,
+    mixing,
+    neighbours,
+    quality,
+    simhash,
+    token_counts,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from bibspark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +59,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+@query("op2_toxicity_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), labelled)
+    return toxicity.score(docs, chain).select(
+        "doc_id",
+        "held_out",
+        F.col("low_quality").alias("low_quality_score"),
+        F.col("toxic").alias("score"),
+        (F.col("toxic") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query("op3_quality_trees")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -168,3 +192,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_string_tiling")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tokens", "n_covered", "n_tiles", "coverage")
