@@ -12,6 +12,7 @@ from bibspark.llm import (
     mixing,
     neighbours,
     quality,
+    repeats,
     simhash,
     token_counts,
     token_files,
@@ -174,6 +175,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op8_suffix_buckets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    lengths = F.transform("spans", lambda s: s["end"] - s["begin"])
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query(
     "op9_one_bit_codes",
     """
