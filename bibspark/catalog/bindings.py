@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from bibspark.catalog import payloads
 from bibspark.operators import clean, features, graph, metrics
 from bibspark.session import new_path
-from bibspark.skew import spread_join
+from bibspark.skew import find_hot, spread_join
 
 # The seed layer: parts of this type. Seeds of size 50 have no metadata row.
 SEED_TYPE = "ECONOMY"
@@ -224,7 +224,8 @@ class Tables:
             F.col("p_brand").alias("brand"),
         )
         rows = self.cite_rows.select("citing_id", "cited_id", "seq", "label", "context", "l_linestatus")
-        return spread_join(spread_join(rows, cited, "cited_id"), citing, "citing_id", counted=rows)
+        hot = find_hot(rows, "cited_id", "citing_id")
+        return spread_join(spread_join(rows, cited, "cited_id", hot=hot), citing, "citing_id", hot=hot)
 
     @cached_property
     def hop1(self) -> DataFrame:

@@ -131,7 +131,7 @@ def _block_pairs(rows: DataFrame, large: DataFrame, block: int) -> DataFrame:
     block pairs. Dealing itself is linear in the distinct authors of a paper.
     """
     blocks = F.ceil(F.col("authors") / F.lit(block)).cast("int")
-    dealt = rows.join(large, "paper_id").select(
+    dealt = spread_join(rows, large, "paper_id", sizes=large.withColumnRenamed("authors", "_n")).select(
         "paper_id", "author", "m", blocks.alias("blocks"),
         F.pmod(F.xxhash64("author"), blocks).cast("int").alias("b"),
     )
@@ -156,12 +156,10 @@ def coauthor_pairs(authorship: DataFrame, block: int = BLOCK) -> DataFrame:
     larger papers are joined block by block.
     """
     rows = authorship.groupBy("paper_id", "author").agg(F.count(F.lit(1)).alias("m"))
-    large = (
-        rows.groupBy("paper_id")
-        .agg(F.count(F.lit(1)).alias("authors"))
-        .where(F.col("authors") > block)
-    )
-    small = rows.join(large.select("paper_id"), "paper_id", "left_anti")
+    counts = rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("authors"))
+    large = land(counts.where(F.col("authors") > block), "large_papers")
+    sizes = large.withColumnRenamed("authors", "_n")
+    small = spread_join(rows, large.select("paper_id"), "paper_id", "left_anti", sizes=sizes)
     a = small.select("paper_id", F.col("author").alias("author1"), F.col("m").alias("m1"))
     b = small.select("paper_id", F.col("author").alias("author2"), F.col("m").alias("m2"))
     pairs = a.join(b, "paper_id")
@@ -173,13 +171,6 @@ def coauthor_pairs(authorship: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def coauthor_pairs_selfjoin(authorship: DataFrame) -> DataFrame:
-    """The defining form, one row per pair of author rows; the yardstick for `coauthor_pairs`."""
-    a = authorship.select("paper_id", F.col("author").alias("author1"))
-    b = authorship.select("paper_id", F.col("author").alias("author2"))
-    return a.join(b, "paper_id").where(F.col("author1") < F.col("author2"))
-
-
 def collaborations(authorship: DataFrame, block: int = BLOCK) -> DataFrame:
     """(author1, author2, weight): pairs over all papers."""
     return (
@@ -240,8 +231,7 @@ def inspect_rejects(rejected: DataFrame) -> DataFrame:
     return rejected.select("title", "reason", "source", total.scalar().alias("total_rejected"))
 
 
-def source_counts_sql(papers: DataFrame, view: str = "papers") -> DataFrame:
-    papers.createOrReplaceTempView(view)
+def source_counts_sql(papers: DataFrame) -> DataFrame:
     return papers.sparkSession.sql(
-        f"SELECT source, count(*) AS source_count FROM {view} GROUP BY source"
+        "SELECT source, count(*) AS source_count FROM {papers} GROUP BY source", papers=papers
     )

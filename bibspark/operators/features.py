@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from bibspark.functions import text as tx
 from bibspark.operators.metrics import decay
 from bibspark.session import land
-from bibspark.skew import spread_join
+from bibspark.skew import find_hot, spread_join
 
 # Name of each intent code.
 INTENT_NAMES = ["Background", "Method", "Result"]
@@ -83,10 +83,10 @@ def neighbour_mean(edges: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _with_end_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    out = edges
+    out, hot = edges, find_hot(edges, "citing_id", "cited_id")
     for end in ("citing", "cited"):
         named = vectors.select(F.col("paper_id").alias(f"{end}_id"), F.col("vector").alias(f"{end}_vector"))
-        out = spread_join(out, named, f"{end}_id", counted=edges)
+        out = spread_join(out, named, f"{end}_id", hot=hot)
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bibspark.operators import clean
 from bibspark.session import land
-from bibspark.skew import keep_first, key_counts, spread_join
+from bibspark.skew import find_hot, keep_first, key_counts, spread_join
 
 # Training code of each intent; anything else is unlabelled.
 INTENT_CODES = {"background": 0, "method": 1, "result": 2}
@@ -52,10 +52,10 @@ def dense_index(ids: DataFrame, column: str = "paper_id") -> DataFrame:
 
 def map_back_ids(edges: DataFrame, index: DataFrame) -> DataFrame:
     """Dense (citing_idx, cited_idx) edges with the ids of both ends."""
-    out = edges
+    out, hot = edges, find_hot(edges, "citing_idx", "cited_idx")
     for end in ("citing", "cited"):
         names = index.select(F.col("idx").alias(f"{end}_idx"), F.col("paper_id").alias(f"{end}_id"))
-        out = spread_join(out, names, f"{end}_idx", counted=edges)
+        out = spread_join(out, names, f"{end}_idx", hot=hot)
     return out
 
 
@@ -123,10 +123,10 @@ def export_contexts(hop1: DataFrame, hop2: DataFrame) -> DataFrame:
 
 def valid_edges(edges: DataFrame, papers: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges whose two ends are known papers (one row per paper)."""
-    out = edges
+    out, hot = edges, find_hot(edges, src, dst)
     for end in (src, dst):
         known = papers.select(F.col("paper_id").alias(end))
-        out = spread_join(out, known, end, "left_semi", counted=edges)
+        out = spread_join(out, known, end, "left_semi", hot=hot)
     return out
 
 
@@ -157,10 +157,10 @@ def with_years(
     edges: DataFrame, papers: DataFrame, src: str = "src", dst: str = "dst", how: str = "left"
 ) -> DataFrame:
     """Edges with the year of both ends; ``how="inner"`` also drops edges of unknown papers."""
-    out = edges
+    out, hot = edges, find_hot(edges, src, dst)
     for end, name in ((src, "citing_year"), (dst, "cited_year")):
         years = papers.select(F.col("paper_id").alias(end), F.col("year").alias(name))
-        out = spread_join(out, years, end, how, counted=edges)
+        out = spread_join(out, years, end, how, hot=hot)
     return out
 
 

@@ -101,20 +101,6 @@ def hirsch(
     return ranked.groupBy(group).agg(*aggs)
 
 
-def hirsch_sorted(df: DataFrame, group: str, value: str, out: str = "h") -> DataFrame:
-    """The defining form: rank the values of a group and count those at or above their rank.
-
-    Sorts a whole group in one task; kept as the yardstick for `hirsch`.
-    """
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_x")))
-    return (
-        df.select(group, F.round(F.col(value).cast("double"), DIGITS).alias("_x"))
-        .withColumn("_r", rank)
-        .groupBy(group)
-        .agg(F.count_if(F.col("_x") >= F.col("_r")).cast("double").alias(out))
-    )
-
-
 def paper_h_two_hop(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """h_p and sh_p: Hirsch over raw counts and scores of the papers citing p."""
     citing = scores.select(F.col("paper_id").alias("citing_id"), "s_c", "raw")
@@ -328,11 +314,11 @@ def author_impact_by_name(analytics: DataFrame) -> DataFrame:
 
 
 def influence_share(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Percentage of each column's total that a row holds."""
-    totals = df.agg(*[F.sum(c).alias(c) for c in columns])
-    for c in columns:
-        df = df.withColumn(f"{c}_percent", F.col(c) / totals.select(c).scalar() * 100)
-    return df
+    """Percentage of each column's total that a row holds; one pass for all totals."""
+    totals = df.agg(F.struct(*[F.sum(c).alias(c) for c in columns])).scalar()
+    return df.withColumn("_totals", totals).select(
+        *df.columns, *[(F.col(c) / F.col("_totals").getField(c) * 100).alias(f"{c}_percent") for c in columns]
+    )
 
 
 def intent_distribution(edges: DataFrame, intent: str = "intent") -> DataFrame:
@@ -351,8 +337,8 @@ def histogram(df: DataFrame, value: str, bins: int = 50, clip: float | None = No
     """
     x = F.least(F.col(value), F.lit(float(clip))) if clip is not None else F.col(value)
     data = df.select(x.cast("double").alias("x")).where("x is not null")
-    lo = data.agg(F.min("x")).scalar()
-    hi = data.agg(F.max("x")).scalar()
+    ends = data.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
     binned = data.withColumn("lo", lo).withColumn("width", (hi - lo) / F.lit(float(bins)))
     bin_no = F.when(
         F.col("width") > 0, F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1))

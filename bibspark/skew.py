@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it has more rows than this and more than its share of a thousandth.
+from bibspark.session import land
+
+# A key with more rows than this is hot, whatever the size of the table.
 ROWS_PER_TASK = 1_000_000
-HOT_KEYS = 1000
+# Rows with a null key match nothing; where they must stay they are dealt over so many slots.
+NULL_SLOTS = 1024
 
 
 def rows_per_task(df: DataFrame) -> int:
@@ -19,14 +22,26 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def hot_keys(sizes: DataFrame, limit: int) -> DataFrame:
-    """The keys of (keys, _n) that one task should not join alone: fewer than HOT_KEYS.
+def _slots(limit: int) -> Column:
+    # slots of half a task: two that meet by chance still make no more than one task's rows
+    return F.ceil(F.col("_n") * 2 / F.lit(limit)).cast("int").alias("_slots")
+
 
-    Fewer than a thousand keys can each hold more than a thousandth of all rows,
-    whatever the data, which bounds every broadcast made from them.
+def find_hot(df: DataFrame, *keys: str) -> dict[str, DataFrame | None]:
+    """For each key column its hot keys as (key, _slots), None if it has none; one pass for all columns.
+
+    The columns must have one type. The result serves every join of a chain that starts
+    from `df` and adds no rows.
     """
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    return sizes.where(F.col("_n") > F.greatest(F.lit(float(limit)), total / HOT_KEYS)).drop("_n")
+    limit = rows_per_task(df)
+    ends = F.explode(F.array(*[F.struct(F.lit(i).alias("_end"), F.col(k).alias("_key")) for i, k in enumerate(keys)]))
+    counts = df.select(ends.alias("x")).groupBy("x._end", "x._key").agg(F.count(F.lit(1)).alias("_n"))
+    hot = land(counts.where(F.col("_n") > limit).select("_end", "_key", _slots(limit)), "hot_keys")
+    found = {r["_end"] for r in hot.select("_end").distinct().collect()}
+    return {
+        k: hot.where(F.col("_end") == i).select(F.col("_key").alias(k), "_slots") if i in found else None
+        for i, k in enumerate(keys)
+    }
 
 
 def spread_join(
@@ -35,32 +50,50 @@ def spread_join(
     on: str | list[str],
     how: str = "inner",
     rows: str | None = None,
-    counted: DataFrame | None = None,
+    hot: dict[str, DataFrame | None] | None = None,
     sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Join `facts` to `lookup` (one row per key) without piling a hot key on one task.
-
-    Rows of hot keys stay where they are and meet a broadcast of their few lookup
-    rows, so they are not shuffled at all, copies included; all other rows take
-    the join Spark plans. Without hot keys the first branch is empty and dropped
-    at run time.
-
-    `rows` names a lookup column that already holds the number of fact rows per
-    key; without it the keys are counted. In a chain of joins, `counted` is the
-    table the chain started from: its counts bound those of every later step, and
-    no step is computed again for counting. `sizes` are such counts at hand, as
-    (keys, _n), for a join that is repeated.
+    """Join `facts` to `lookup` without piling a hot key on one task.
+
+    Keys are counted first. If none has more than `bibspark.rowsPerTask` rows, the join is
+    the one Spark plans, with nothing added. Otherwise the rows of a hot key are dealt
+    over slots by their number, so that equal rows part as well, the lookup rows of hot
+    keys are repeated once for each slot, and key and slot together are the key of one
+    shuffled join. Only (key, slots) of hot keys is broadcast: at most
+    total / rowsPerTask narrow rows. A lookup with several rows per key repeats all of them.
+
+    The facts occur once in the plan, and once in the count before it. `rows` names a lookup
+    column that already holds the fact rows per key (the lookup is landed, and not counted);
+    `sizes` are such counts as (keys, _n); `hot` is what `find_hot` found for a chain.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if sizes is None and rows is not None:
-        sizes = lookup.select(*keys, F.col(rows).alias("_n"))
-    elif sizes is None:
-        sizes = key_counts(facts if counted is None else counted, keys)
-    hot = F.broadcast(hot_keys(sizes, rows_per_task(facts)))
-    hot_lookup = F.broadcast(lookup.join(hot, keys, "left_semi"))
-    in_place = facts.join(hot, keys, "left_semi").join(hot_lookup, keys, how)
-    shuffled = facts.join(hot, keys, "left_anti").join(lookup, keys, how)
-    return in_place.unionByName(shuffled)
+    if hot is not None:
+        hot_rows = hot[keys[0]]
+    else:
+        limit = rows_per_task(facts)
+        if rows is not None:
+            lookup = land(lookup, "counted_lookup")
+            sizes = lookup.select(*keys, F.col(rows).alias("_n"))
+        elif sizes is None:
+            sizes = key_counts(facts, keys)
+        found = land(sizes.where(F.col("_n") > limit).select(*keys, _slots(limit)), "hot_keys")
+        hot_rows = None if found.isEmpty() else found
+    if hot_rows is None:
+        return facts.join(lookup, keys, how)
+    hot_rows = F.broadcast(hot_rows)
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    number = F.monotonically_increasing_id()
+    dealt = facts.join(hot_rows, keys, "left").withColumn(
+        "_slot",
+        F.when(no_key, F.pmod(number, F.lit(NULL_SLOTS)))
+        .otherwise(F.pmod(number, F.coalesce("_slots", F.lit(1))))
+        .cast("int"),
+    )
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_slots", F.lit(1)) - 1)).alias("_slot")
+    repeated = lookup.join(hot_rows, keys, "left").select(*lookup.columns, every)
+    return dealt.drop("_slots").join(repeated, [*keys, "_slot"], how).drop("_slot")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:

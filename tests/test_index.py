@@ -1,6 +1,7 @@
 """The index build on a five-record fixture, and feed edge cases."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,20 +10,22 @@ from bibspark.operators import analytics, clean
 from bibspark.plans import explore, index_build
 from bibspark.sources import feeds, tables
 
+# Feed records: a repeated word and kept punctuation; a double space and a line break inside an
+# abstract; an author of one name; a null abstract in each feed; one word in both feeds, once in capitals.
 ARXIV = [
-    {"id": "1", "title": "Photon Pairs at Colliders", "update_date": "2008-11-26",
-     "abstract": "Perturbative quantum photon pairs colliders... with photon",
-     "authors_parsed": [["Bal", "zs", ""], ["Berger", "E. L.", ""], ["Nad", "P. M.", ""], ["Yuan", "C.", ""]]},
-    {"id": "2", "title": "Sparse Graphs", "abstract": "A new pebble game  with\ncolors", "update_date": "2008-12-13",
-     "authors_parsed": [["Stre", "Ilya", ""], ["Ther", "Lou", ""]]},
-    {"id": "3", "title": "Nothing here", "abstract": None, "update_date": "2009-01-01",
-     "authors_parsed": [["A", "B", ""]]},
+    {"id": "a1", "title": "Winter bees in cold hives", "update_date": "2011-03-02",
+     "abstract": "honeybee colonies cluster tightly; honeybee warmth",
+     "authors_parsed": [["Okoro", "", ""], ["Lind", "Eva", ""], ["Moreau", "P.", ""]]},
+    {"id": "a2", "title": "Salt marsh mapping", "update_date": "2011-07-19", "abstract": "the lidar survey  of\nmarshes",
+     "authors_parsed": [["Haddad", "Rim", ""], ["Sato", "Ken", ""]]},
+    {"id": "a3", "title": "Draft", "abstract": None, "update_date": "2012-05-05",
+     "authors_parsed": [["Lind", "Eva", ""]]},
 ]
 S2 = [
-    {"paper_id": "9", "title": "Learning Circuits", "year": 2023, "abstract": "Novel QUANTUM circuits",
-     "authors": [{"first": "Ann", "last": "Smith"}, {"first": "Bo", "last": "Jones"}]},
-    {"paper_id": "8", "title": "No abstract", "year": 2022, "abstract": None,
-     "authors": [{"first": "Cy", "last": "Brown"}]},
+    {"paper_id": "s1", "title": "Honeybee dialects", "year": 2019, "abstract": "HONEYBEE dances differ",
+     "authors": [{"first": "Ada", "last": "Vega"}, {"first": "Tom", "last": "Li"}]},
+    {"paper_id": "s2", "title": "Poster", "year": 2020, "abstract": None,
+     "authors": [{"first": "Ada", "last": "Vega"}]},
 ]
 
 
@@ -43,25 +46,26 @@ def test_five_records(spark, index, rows):
     t = tables.load_indexes(spark, index)
     assert t["papers"].count() == 3
     assert rows(t["rejected_papers"], "title", "reason") == [
-        ("No abstract", "failed_validation"), ("Nothing here", "failed_validation")]
+        ("Draft", "failed_validation"), ("Poster", "failed_validation")]
     assert rows(t["author_stats"]) == sorted(
-        [(a, 1, 2008) for a in ("Bal zs", "Berger E. L.", "Nad P. M.", "Yuan C.", "Stre Ilya", "Ther Lou")]
-        + [("Ann Smith", 1, 2023), ("Bo Jones", 1, 2023)], key=repr)
-    assert t["collaborations"].count() == 8
+        [(a, 1, 2011) for a in ("Okoro", "Lind Eva", "Moreau P.", "Haddad Rim", "Sato Ken")]
+        + [("Ada Vega", 1, 2019), ("Tom Li", 1, 2019)], key=repr)
+    # three pairs of the first paper, one of each other
+    assert t["collaborations"].count() == 5
     assert t["collaborations"].where("weight <> 1").count() == 0
     topics = {(y, w): n for w, n, y in rows(t["temporal_topics"])}
-    assert topics[(2008, "photon")] == 2 and topics[(2008, "colliders...")] == 1
-    assert topics[(2008, "quantum")] == 1 and topics[(2023, "quantum")] == 1
+    assert topics[(2011, "honeybee")] == 2 and topics[(2011, "tightly;")] == 1
+    assert topics[(2019, "honeybee")] == 1
     # A newline does not part tokens; words of three letters and stopwords are out.
-    assert (2008, "with\ncolors") in topics and (2008, "with") not in topics and (2008, "new") not in topics
+    assert (2011, "of\nmarshes") in topics and (2011, "of") not in topics and (2011, "the") not in topics
 
 
 def test_explore(spark, index, rows):
-    assert rows(explore.ask(spark, index, "topic", "QUANTUM")) == [(2008, 1), (2023, 1)]
-    assert rows(explore.ask(spark, index, "search", "Quantum"), "title") == [
-        ("Learning Circuits",), ("Photon Pairs At Colliders",)]
-    assert rows(explore.ask(spark, index, "network", "Ann Smith")) == [("Ann Smith", "Bo Jones", 1)]
-    assert rows(explore.ask(spark, index, "author", "Bo Jones")) == [(2023, 1)]
+    assert rows(explore.ask(spark, index, "topic", "HONEYBEE")) == [(2011, 2), (2019, 1)]
+    assert rows(explore.ask(spark, index, "search", "Honeybee"), "title") == [
+        ("Honeybee Dialects",), ("Winter Bees In Cold Hives",)]
+    assert rows(explore.ask(spark, index, "network", "Ada Vega")) == [("Ada Vega", "Tom Li", 1)]
+    assert rows(explore.ask(spark, index, "author", "Tom Li")) == [(2019, 1)]
     assert rows(explore.ask(spark, index, "sources")) == [("arxiv", 2), ("s2orc", 1)]
     assert rows(explore.ask(spark, index, "rejects"), "total_rejected") == [(2,), (2,)]
     with pytest.raises(ValueError):
@@ -126,14 +130,29 @@ def test_bad_date_gives_null_year(spark, tmp_path):
     assert row.year is None and row.authors == ["X"]
 
 
-def test_pairs_equal_the_self_join(spark, rows):
+def test_pairs_equal_counted_pairs(spark, rows):
+    listed = {"p1": "abcdeab", "p2": "ace", "p3": "z"}
     authors = spark.createDataFrame(
-        [("p1", a) for a in "abcdeab"] + [("p2", a) for a in "ace"] + [("p3", "z")],
-        "paper_id string, author string")
-    wanted = (analytics.coauthor_pairs_selfjoin(authors).groupBy("paper_id", "author1", "author2")
-              .agg(F.count(F.lit(1)).alias("n")))
+        [(p, a) for p, names in listed.items() for a in names], "paper_id string, author string")
+    wanted = Counter((p, x, y) for p, names in listed.items() for x in names for y in names if x < y)
     for block in (1, 2, 3, 200):
-        assert rows(analytics.coauthor_pairs(authors, block)) == rows(wanted)
+        assert rows(analytics.coauthor_pairs(authors, block)) == sorted((*k, n) for k, n in wanted.items())
+
+
+def test_huge_paper_is_dealt_over_tasks(spark):
+    """A paper of 3,000 authors, 100 rows a task: no join task gets the paper's author rows whole."""
+    authors = spark.range(3000).select(F.lit("p").alias("paper_id"), F.concat(F.lit("a"), "id").alias("author"))
+    keep = {"bibspark.rowsPerTask": "100", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = analytics.coauthor_pairs(authors, 500)
+        parts = pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert sum(r.n for r in parts) == 3000 * 2999 // 2 and len(parts) > 4
+    finally:
+        for k in keep:
+            spark.conf.unset(k)
 
 
 def test_tfidf_matches_the_hashed_form(spark):

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from bibspark.skew import keep_first, spread_join
+from bibspark.skew import find_hot, keep_first, spread_join
 
 
 @pytest.fixture
@@ -32,7 +32,7 @@ def test_same_rows_as_a_plain_join(spark, rows, tiny_tasks, how):
     cols = ["k", "v"] if how in ("left_semi", "left_anti") else ["k", "v", "name"]
     wanted = rows(facts.join(lookup, "k", how), *cols)
     assert rows(spread_join(facts, lookup, "k", how), *cols) == wanted
-    assert rows(spread_join(facts, lookup, "k", how, counted=facts), *cols) == wanted
+    assert rows(spread_join(facts, lookup, "k", how, hot=find_hot(facts, "k")), *cols) == wanted
 
 
 def test_counts_held_by_the_lookup(spark, rows, tiny_tasks):
@@ -42,6 +42,33 @@ def test_counts_held_by_the_lookup(spark, rows, tiny_tasks):
     assert rows(got, "k", "v", "n", "top") == rows(facts.join(lookup, "k"), "k", "v", "n", "top")
 
 
+def test_no_task_gets_more_than_its_share(spark):
+    """A key of a fifth of the rows, and a thousand times more rows than one task may join."""
+    limit = 40
+    settings = {"bibspark.rowsPerTask": str(limit), "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4000",
+                "spark.sql.adaptive.skewJoin.enabled": "false"}
+    facts = spark.range(1000 * limit).select(F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("id")).alias("k"))
+    lookup = spark.range(1000 * limit).select(F.col("id").alias("k")).union(spark.range(1).select(F.lit(-1).cast("long")))
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = spread_join(facts, lookup, "k")
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert sum(r.n for r in parts) == 1000 * limit
+        assert max(r.n for r in parts) <= 2 * limit
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_without_hot_keys_the_join_is_plain(spark):
+    facts, lookup = facts_of(spark), lookup_of(spark)
+    plan = spread_join(facts, lookup, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slot" not in plan and plan.count("Range") == 1
+
+
 def test_hot_key_is_split(spark, tiny_tasks):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
