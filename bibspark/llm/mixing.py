@@ -102,6 +102,12 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float =
     return weighed.select("source", "source_size", target.alias("target"))
 
 
+def _of_source(rows: DataFrame, lookup: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` with the columns of `lookup` for their source, a null source matching a null one."""
+    named = lookup.withColumnRenamed("source", "_source")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
+
+
 def sample(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) from `sized` rows and `targets` rows."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -109,8 +115,7 @@ def sample(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     p = F.least(F.greatest((rate - certain) * F.col("scale"), F.lit(0.0)), F.lit(1.0))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     joined = (
-        sizes.join(aims, sizes.source.eqNullSafe(aims.source))
-        .drop(aims.source)
+        _of_source(sizes, aims)
         .withColumns({"certain": certain.cast("int"), "p": p})
         # ranks keep the order of the odds ratio and lie between 0 and 1
         .withColumn("rank", F.when(F.col("p") >= 1, 0.0).when(F.col("p") > 0, odds / (1 + odds)).otherwise(1.0))
@@ -124,16 +129,13 @@ def sample(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     for _ in range(LEVELS):
         # the cell in which the missing words run out, cut again at the next level
         inside = (
-            rows.where("p > 0")
-            .join(missing, rows.source.eqNullSafe(missing.source))
-            .drop(missing.source)
-            .where("rank >= low and rank < low + width")
+            _of_source(rows.where("p > 0"), missing).where("rank >= low and rank < low + width")
         )
         cell = F.least(F.floor((F.col("rank") - F.col("low")) / F.col("width") * CELLS), F.lit(CELLS - 1)).cast("int")
         words = inside.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words"))
         up_to = Window.partitionBy("source").orderBy("cell")
         summed = words.withColumn("up_to", F.sum("words").over(up_to))  # at most CELLS rows a source
-        after = missing.join(summed, missing.source.eqNullSafe(summed.source), "left").drop(summed.source)
+        after = _of_source(missing, summed, "left")
         fits = F.col("up_to") <= F.col("missing")
         cut = after.groupBy("source").agg(
             F.first("missing").alias("all"),
@@ -155,7 +157,7 @@ def sample(sizes: DataFrame, aims: DataFrame) -> DataFrame:
             ),
             "missing",
         )
-    taken = rows.join(missing, rows.source.eqNullSafe(missing.source)).drop(missing.source)
+    taken = _of_source(rows, missing)
     first = (F.col("p") > 0) & (F.col("rank") < F.col("low"))
     closest = (
         taken.where(~first & F.expr("certain < 2 and size > 0 and abs(missing - size) < abs(missing)"))
@@ -163,7 +165,7 @@ def sample(sizes: DataFrame, aims: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")), "rank", "doc_id", "size")).alias("x"))
         .select("source", F.col("x.doc_id").alias("last_id"), F.col("x.size").alias("last_size"))
     )
-    out = taken.join(closest, taken.source.eqNullSafe(closest.source), "left").drop(closest.source)
+    out = _of_source(taken, closest, "left")
     last = F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("size") == F.col("last_size")) & ~first
     return out.select(
         "doc_id",
