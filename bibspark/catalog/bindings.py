@@ -4,7 +4,8 @@ Views that many queries start from are landed: written once per session to the
 shared folder and read back, as the index and graph jobs do. `Tables` builds each view as a DataFrame; `CTES` states the same view in SQL.
 Documents are papers of the index (feeds, topics, authors). Parts are papers of
 the citation graph: the largest part of an order cites the other parts of the
-order. Nothing is left out: every document, part, order and line takes part.
+order. Every document, part, order and line is read; a line that holds its order's largest
+part itself gives no citation, as papers do not cite themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from bibspark.catalog import payloads
 from bibspark.operators import clean, features, graph, metrics
-from bibspark.session import new_path
+from bibspark.session import new_path, stamp
 from bibspark.skew import find_hot, spread_join
 
 # The seed layer: parts of this type. Seeds of size 50 have no metadata row.
@@ -24,15 +25,15 @@ SEED_TYPE = "ECONOMY"
 LAMBDA = 0.1
 
 
-# (application, directory, view) -> path and schema of the landed table.
-_LANDED: dict[tuple[str, str, str], tuple] = {}
+# (application, directory, its files, view) -> path and schema of the landed table.
+_LANDED: dict[tuple[str, str, str, str], tuple] = {}
 
 
 def landed(build):
     """A view written once per session and input folder."""
 
     def read(self: Tables) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir, build.__name__)
+        key = (self.spark.sparkContext.applicationId, self.dir, self.files, build.__name__)
         if key not in _LANDED:
             df = build(self)
             path = new_path(self.spark, build.__name__)
@@ -49,6 +50,11 @@ class Tables:
         self.spark = spark
         self.dir = sf_dir
 
+    @cached_property
+    def files(self) -> str:
+        """What tells this folder's tables from those of an earlier state."""
+        return stamp(self.spark, self.dir)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -363,7 +369,7 @@ class Tables:
             F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("paper_id"),
             F.pmod(F.col("p_partkey"), n.scalar()).alias("vec_id"),
         )
-        vec = self.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+        vec = self.embeddings.select("vec_id", F.col("embedding").alias("vector"))
         return spread_join(keyed, vec, "vec_id").select("paper_id", "vector")
 
 

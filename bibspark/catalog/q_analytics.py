@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from bibspark.catalog.registry import query
+from pyspark.ml.functions import vector_to_array
+
 from bibspark.functions.text import STOPWORDS
 from bibspark.operators import analytics as a
 from bibspark.operators import clean
@@ -88,18 +90,38 @@ def doc_tokens(t):
     return a.doc_tokens(t.papers).withColumn("tokens", F.array_join("tokens", " "))
 
 
-@query("hashing_tf")
+def _values(vector):
+    return vector_to_array(F.col(vector))
+
+
+@query(
+    "hashing_tf",
+    "papers",
+    f"""
+SELECT paper_id, year, {a.HASH_BUCKETS} AS buckets, CAST(count(*) AS DOUBLE) AS tokens
+FROM {WORDS} GROUP BY paper_id, year""",
+)
 def hashing_tf(t):
+    """The counts in a paper's buckets add up to its topic words."""
+    v = _values("tf_features")
     return a.hashing_tf(a.doc_tokens(t.papers)).select(
-        "paper_id", "year", F.col("tf_features").cast("string").alias("tf_features")
+        "paper_id", "year", F.size(v).alias("buckets"), F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("tokens")
     )
 
 
-@query("tfidf_features")
+@query(
+    "tfidf_features",
+    "papers",
+    f"""
+SELECT DISTINCT paper_id, year, {a.HASH_BUCKETS} AS buckets, true AS same_support FROM {WORDS}""",
+)
 def tfidf_features(t):
+    """A bucket weighs something only if it counts something, and all weights are at least 0."""
     tf = a.hashing_tf(a.doc_tokens(t.papers))
+    pairs = F.arrays_zip(_values("tf_features").alias("n"), _values("tfidf_features").alias("w"))
+    same = F.forall(pairs, lambda p: (p["w"] >= 0) & ((p["n"] > 0) | (p["w"] == 0)))
     return a.tfidf_features(tf).select(
-        "paper_id", "year", F.col("tfidf_features").cast("string").alias("tfidf_features")
+        "paper_id", "year", F.size(pairs).alias("buckets"), same.alias("same_support")
     )
 
 

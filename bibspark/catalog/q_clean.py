@@ -505,9 +505,14 @@ def flag_to_float(t):
     "present_search",
     "papers",
     """
-SELECT array_to_string(authors, ', ') AS authors, year, upper(source) AS source, count(*) AS papers
+SELECT replace(lower(title), 'ß', 'ss') AS title, array_to_string(authors, ', ') AS authors, year, upper(source) AS source,
+       count(*) AS papers
 FROM papers GROUP BY ALL""",
 )
 def present_search(t):
     shown = clean.present_search(t.papers)
-    return shown.groupBy("authors", "year", "source").agg(F.count("title").alias("papers"))
+    # capitals of ß are SS, so title case does not come back from lower case
+    plain = F.replace(F.lower("title"), F.lit("ß"), F.lit("ss")).alias("title")
+    return shown.groupBy(plain, "authors", "year", "source").agg(
+        F.count(F.lit(1)).alias("papers")
+    )

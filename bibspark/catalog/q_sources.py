@@ -27,7 +27,11 @@ def arxiv_feed(t):
 
 
 def s2_feed(t):
-    return t.raw_docs.where("source = 's2orc'").select(
+    return as_s2(t.raw_docs.where("source = 's2orc'"))
+
+
+def as_s2(docs):
+    return docs.select(
         F.col("doc_id").cast("string").alias("paper_id"),
         "title",
         "abstract",
@@ -154,17 +158,31 @@ def query_ledger(t):
     )
 
 
+@query(
+    "first_existing",
+    "raw_docs",
+    """
+SELECT title, abstract, array_to_string(authors, '|') AS authors, year, source
+FROM raw_docs WHERE source = 's2orc'""",
+)
+def first_existing(t):
+    """The sample stands in for a live feed that is not there."""
+    live, sample = (new_path(t.spark, n) for n in ("live_feed", "sample_feed"))
+    tables.write_jsonl(s2_feed(t), sample)
+    return flat(feeds.scan_s2(t.spark, feeds.first_existing(t.spark, live, sample)))
+
+
 @query(
     "landing_append",
     "raw_docs",
     """
 SELECT title, abstract, array_to_string(authors, '|') AS authors, year, source FROM (
-  SELECT * FROM raw_docs WHERE source = 's2orc' UNION ALL SELECT * FROM raw_docs WHERE source = 's2orc')""",
+  SELECT * REPLACE ('s2orc' AS source) FROM raw_docs UNION ALL SELECT * REPLACE ('s2orc' AS source) FROM raw_docs)""",
 )
 def landing_append(t):
     path = new_path(t.spark, "landing")
     for _ in range(2):
-        feeds.landing_append(s2_feed(t), path)
+        feeds.landing_append(as_s2(t.raw_docs), path)
     return flat(feeds.scan_s2(t.spark, path))
 
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Words never counted as topics.
 STOPWORDS = [
@@ -110,25 +108,75 @@ def rebuild_text(inverted: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: x["here"]["word"]), " ")
 
 
-def _decode_pieces(pieces: Column) -> Column:
-    # A local function travels to the workers by value: they need not have this package.
-    def decode(lists: pd.Series) -> pd.Series:
-        return lists.map(
-            lambda ps: None if ps is None else "".join(html.unescape(p).strip() for p in ps)
+def _code_point(number: Column) -> Column:
+    """The character of a numeric reference, by the rules HTML has for wrong ones."""
+    wrong = {0: "\ufffd", 13: "\r"}
+    for n in range(0x80, 0xA0):  # meant as Windows-1252
+        try:
+            wrong[n] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            wrong[n] = chr(n)
+    table = F.create_map(*[F.lit(x) for n, c in wrong.items() for x in (n, c)])
+    none = (
+        number.between(1, 8) | number.between(0xE, 0x1F) | (number == 0xB) | (number == 0x7F)
+        | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (
+        F.when(number.isin(*wrong), F.element_at(table, number.cast("int")))
+        .when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "\ufffd")
+        .when(none, "")
+        .otherwise(plain)
+    )
+
+
+# The references of ordinary text come first: a lookup goes through the names in order.
+_NAMES = dict.fromkeys(["amp;", "quot;", "lt;", "gt;", "nbsp;", "copy;", "middot;", "apos;"]) | html5
+_NAMES = {name: html5[name] for name in _NAMES}
+# Names that count without a semicolon, also when more letters follow; longest first.
+_OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def decode_references(text: Column) -> Column:
+    """Character references of HTML replaced by their characters."""
+    part = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
+    names = F.map_from_arrays(
+        F.array(*[F.lit(n) for n in _NAMES]), F.array(*[F.lit(c) for c in _NAMES.values()])
+    )
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_replace(x, r"^&#[xX]?0*|;$", "")
+        base16 = F.lower(F.substring(x, 3, 1)) == "x"
+        value = F.when(base16, F.conv(digits, 16, 10)).otherwise(digits)
+        number = F.when(F.length(digits) > 8, 0x110000).when(digits == "", 0).otherwise(value.cast("bigint"))
+        name = F.substring(x, 2, 40)
+        opening = F.regexp_extract(name, "^(" + "|".join(_OPEN_NAMES) + ")", 1)
+        named = F.coalesce(
+            F.try_element_at(names, name),
+            F.when(
+                opening != "",
+                F.concat(F.try_element_at(names, opening), F.substr(name, F.length(opening) + 1)),
+            ),
+            x,
         )
+        return F.when(~F.startswith(x, F.lit("&")) | (x == "&"), x).when(
+            F.startswith(x, F.lit("&#")) & (F.length(x) > 2), _code_point(number)
+        ).otherwise(named)
 
-    return F.pandas_udf(decode, StringType())(pieces)
+    found = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(part), F.lit(0)), one), "")
+    return F.when(F.contains(text, F.lit("&")), found).otherwise(text)
 
 
 def strip_markup(markup: Column) -> Column:
     """Visible text of HTML or JATS markup: each piece stripped, pieces joined.
 
-    Tags go in the JVM; only the decoding of character references, for which
-    Spark has no function, runs in Python on Arrow batches.
+    Tags, character references and blanks are all handled in the JVM.
     """
     body = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
     body = F.regexp_replace(body, r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>", "")
-    return _decode_pieces(F.split(body, r"</?[a-zA-Z!?][^>]*>", -1))
+    pieces = F.split(body, r"</?[a-zA-Z!?][^>]*>", -1)
+    blank = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+    return F.array_join(F.transform(pieces, lambda p: F.regexp_replace(decode_references(p), blank, "")), "")
 
 
 def issued_year(issued: Column) -> Column:

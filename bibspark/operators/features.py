@@ -63,7 +63,7 @@ def embed(
 
 def mean_vectors(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """(key, vector): the mean of a key's vectors, combined on the map side."""
-    mean = Summarizer.mean(array_to_vector(F.col(vector)))
+    mean = Summarizer.mean(array_to_vector(_wide(vector)))
     return rows.groupBy(key).agg(mean.alias("_mean")).select(
         key, vector_to_array("_mean").alias("vector")
     )
@@ -94,16 +94,22 @@ def edge_features(edges: DataFrame, vectors: DataFrame, edge_vector: str | None
     """Adds `features`: citing, cited and edge vector, then the years apart.
 
     Without an edge vector of its own an edge takes that of the citing paper,
-    whose text holds the citing sentence.
+    whose text holds the citing sentence. Edges with an end that has no vector
+    have no features and are left out.
     """
     joined = _with_end_vectors(edges, vectors)
-    edge = F.col(edge_vector) if edge_vector else F.col("citing_vector")
+    edge = _wide(edge_vector or "citing_vector")
     features = F.concat(
-        "citing_vector", "cited_vector", edge, F.array(F.col("delta_t").cast("double"))
+        _wide("citing_vector"), _wide("cited_vector"), edge, F.array(F.col("delta_t").cast("double"))
     )
     return joined.withColumn("features", features).drop("citing_vector", "cited_vector")
 
 
+def _wide(vector: str) -> Column:
+    """Vectors travel through joins as they are stored, and are widened where they are used."""
+    return F.col(vector).cast("array<double>")
+
+
 def _times(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * y)
 
@@ -134,14 +140,21 @@ def softmax_by(df: DataFrame, group: str, score: str, out: str) -> DataFrame:
     )
 
 
-def temporal_attention(edges: DataFrame, vectors: DataFrame, lam: float) -> DataFrame:
+def temporal_attention(
+    edges: DataFrame, vectors: DataFrame, lam: float, edge_vector: str | None = None
+) -> DataFrame:
     """(citing_id, cited_id, score, alpha): decayed attention, normalised per cited paper.
 
     The score is the sum of query · key · edge over the vector, divided by the
-    root of its length; the cited paper asks, the citing paper answers.
+    root of its length; the cited paper asks, the citing paper answers. `edge_vector`
+    names the edges' own vector, that of the citing sentence; without one an edge
+    takes that of the citing paper, whose text holds the sentence. Edges with an end
+    that has no vector have no score and are left out.
     """
-    joined = _with_end_vectors(edges.select("citing_id", "cited_id", "delta_t"), vectors)
-    triple = _times(_times(F.col("cited_vector"), F.col("citing_vector")), F.col("citing_vector"))
+    own = [edge_vector] if edge_vector else []
+    joined = _with_end_vectors(edges.select("citing_id", "cited_id", "delta_t", *own), vectors)
+    edge = F.col(edge_vector) if edge_vector else F.col("citing_vector")
+    triple = _times(_times(_wide("cited_vector"), _wide("citing_vector")), edge.cast("array<double>"))
     score = _total(triple) / F.sqrt(F.size("cited_vector")) * decay(lam, F.col("delta_t"))
     scored = joined.select("citing_id", "cited_id", score.alias("score"))
     return softmax_by(scored, "cited_id", "score", "alpha")
@@ -152,7 +165,7 @@ def attention_sum(attention: DataFrame, vectors: DataFrame) -> DataFrame:
     citing = vectors.select(F.col("paper_id").alias("citing_id"), "vector")
     rows = spread_join(attention, citing, "citing_id")
     # The summarizer weighs each vector, so the sum is the weighted one.
-    total = Summarizer.metrics("sum").summary(array_to_vector(F.col("vector")), F.col("alpha"))
+    total = Summarizer.metrics("sum").summary(array_to_vector(_wide("vector")), F.col("alpha"))
     return (
         rows.groupBy("cited_id")
         .agg(total.alias("_s"))
@@ -204,9 +217,13 @@ def fit_importance(train: DataFrame, label: str = "is_key", iterations: int = 20
     return model.fit(_vector(flagged).select("_features", "_label"))
 
 
-def predict_edges(edges: DataFrame, intent_model, importance_model) -> DataFrame:
-    """Edges with predicted intent and importance."""
-    scored = importance_model.transform(intent_model.transform(_vector(edges)))
+def predict_edges(edges: DataFrame, intent_model, importance_model=None) -> DataFrame:
+    """Edges with predicted intent, and with an importance if there is a model of it."""
+    scored = intent_model.transform(_vector(edges))
+    importance = []
+    if importance_model is not None:
+        scored = importance_model.transform(scored)
+        importance = [vector_to_array("importance_probability")[1].alias("raw_importance")]
     names = F.array(*[F.lit(n) for n in INTENT_NAMES])
     return scored.select(
         *[c for c in edges.columns if c != "features"],
@@ -214,7 +231,7 @@ def predict_edges(edges: DataFrame, intent_model, importance_model) -> DataFrame
             "predicted_intent"
         ),
         F.col("intent_prediction").cast("int").alias("predicted_code"),
-        vector_to_array("importance_probability")[1].alias("raw_importance"),
+        *importance,
     )
 
 

@@ -65,8 +65,6 @@ def assign_layers(hop0: DataFrame, hop1: DataFrame, hop2: DataFrame, median_year
     An id that hop1 cites but the seed table lacks becomes a placeholder seed,
     unless it has metadata of its own as a first-layer paper.
     """
-    order = F.lit(0) if "seq" not in hop1.columns else F.col("seq")
-
     def rows(df, pid, title, abstract, year, layer, rank, order):
         return df.select(
             F.col(pid).alias("paper_id"),
@@ -80,27 +78,38 @@ def assign_layers(hop0: DataFrame, hop1: DataFrame, hop2: DataFrame, median_year
 
     c = F.col
     known = rows(hop0, "source_paper_id", c("title"), c("abstract"), c("year"), 0, 0, F.lit(0))
-    first = rows(hop1, "hop1_id", c("hop1_title"), c("hop1_abstract"), c("hop1_year"), 1, 1, order)
+    first = rows(hop1, "hop1_id", c("hop1_title"), c("hop1_abstract"), c("hop1_year"), 1, 1, _order_of(hop1))
     ghosts = rows(
         hop1.select("hop0_id").distinct(), "hop0_id", F.lit(clean.NO_TITLE), F.lit(clean.NO_ABSTRACT),
         median_year, 0, 2, F.lit(0),
     )
-    second = rows(hop2, "hop2_id", c("hop2_title"), c("hop2_abstract"), c("hop2_year"), 2, 3, order)
+    second = rows(hop2, "hop2_id", c("hop2_title"), c("hop2_abstract"), c("hop2_year"), 2, 3, _order_of(hop2))
     every = known.unionByName(first).unionByName(ghosts).unionByName(second)
     return keep_first(every, ["paper_id"], ["_rank", "_order"]).drop("_rank", "_order")
 
 
+def _order_of(layer: DataFrame) -> Column:
+    """The order column of a layer, if it has one."""
+    return F.col("seq").cast("bigint") if "seq" in layer.columns else F.lit(0).cast("bigint")
+
+
 def merge_edges(hop1: DataFrame, hop2: DataFrame) -> DataFrame:
-    """(src, dst, intent_label, citation_text): both layers, one row per pair, hop1 first."""
-    seq = [F.col("seq") if "seq" in hop1.columns else F.lit(0)]
+    """(src, dst, intent_label, citation_text): both layers, one row per pair, hop1 first.
+
+    A key-citation flag of the first layer is kept as a further column; second-layer
+    edges have none.
+    """
+    flag = "isKeyCitation"
+    own = [F.col(flag)] if flag in hop1.columns else []
+    none = [F.lit(None).cast("boolean").alias(flag)] if own else []
     first = hop1.select(
-        F.col("hop1_id").alias("src"), F.col("hop0_id").alias("dst"), "intent_label", "citation_text",
-        F.lit(0).alias("_rank"), seq[0].alias("_order"),
+        F.col("hop1_id").alias("src"), F.col("hop0_id").alias("dst"), "intent_label", "citation_text", *own,
+        F.lit(0).alias("_rank"), _order_of(hop1).alias("_order"),
     )
     second = hop2.select(
         F.col("hop2_id").alias("src"), F.col("hop1_id").alias("dst"),
-        F.lit(str(UNLABELLED)).alias("intent_label"), "citation_text",
-        F.lit(1).alias("_rank"), seq[0].alias("_order"),
+        F.lit(str(UNLABELLED)).alias("intent_label"), "citation_text", *none,
+        F.lit(1).alias("_rank"), _order_of(hop2).alias("_order"),
     )
     edges = keep_first(first.unionByName(second), ["src", "dst"], ["_rank", "_order"])
     return clean.fill_context(edges.drop("_rank", "_order"))
@@ -108,14 +117,13 @@ def merge_edges(hop1: DataFrame, hop2: DataFrame) -> DataFrame:
 
 def export_contexts(hop1: DataFrame, hop2: DataFrame) -> DataFrame:
     """(citing_id, cited_id, citation_text) of both layers, rows without text left out."""
-    seq = F.col("seq") if "seq" in hop1.columns else F.lit(0)
     first = hop1.select(
         F.col("hop1_id").alias("citing_id"), F.col("hop0_id").alias("cited_id"), "citation_text",
-        F.lit(0).alias("_rank"), seq.alias("_order"),
+        F.lit(0).alias("_rank"), _order_of(hop1).alias("_order"),
     )
     second = hop2.select(
         F.col("hop2_id").alias("citing_id"), F.col("hop1_id").alias("cited_id"), "citation_text",
-        F.lit(1).alias("_rank"), seq.alias("_order"),
+        F.lit(1).alias("_rank"), _order_of(hop2).alias("_order"),
     )
     rows = first.unionByName(second).na.drop(subset=["citation_text"])
     return keep_first(rows, ["citing_id", "cited_id"], ["_rank", "_order"]).drop("_rank", "_order")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bibspark import schemas
 from bibspark.operators import clean, features, graph, metrics
-from bibspark.session import build_session
+from bibspark.session import build_session, delete_landed
 from bibspark.sources import tables
 
 DEFAULT_LAMBDA = 0.1
@@ -22,7 +22,7 @@ def prepare_graph(
     spark: SparkSession, hop0: DataFrame, hop1: DataFrame, hop2: DataFrame, out: str
 ) -> tuple[DataFrame, DataFrame]:
     """Land cleaned layers, papers and valid edges with years apart; return papers and edges."""
-    order = [c for c in ("seq",) if c in hop1.columns]
+    order = ["seq"] if all("seq" in h.columns for h in (hop0, hop1, hop2)) else []
     for name, layer in zip(("hop0", "hop1", "hop2"), clean.clean_layers(hop0, hop1, hop2, order)):
         tables.write_plain(layer, f"{out}/{name}")
     h0, h1, h2 = (spark.read.parquet(f"{out}/hop{i}") for i in range(3))
@@ -43,6 +43,7 @@ def prepare_graph(
         "citation_text",
         "intent_code",
         "train_mask",
+        *[c for c in ("isKeyCitation",) if c in merged.columns],
         graph.delta_t_scaled(F.col("citing_year"), F.col("cited_year")).alias("delta_t"),
     )
     tables.write_plain(edges, f"{out}/edges")
@@ -52,7 +53,11 @@ def prepare_graph(
 def predict_intents(
     spark: SparkSession, papers: DataFrame, edges: DataFrame, out: str, dim: int = 64, make_encoder=None
 ) -> DataFrame:
-    """Train on labelled edges, predict all, and land the predictions."""
+    """Train on labelled edges, predict all, and land the predictions.
+
+    The importance model learns the key-citation flag; without that flag in the first layer
+    there is no importance model and no `raw_importance`.
+    """
     texts = papers.select("paper_id", graph.joined_text(F.col("title"), F.col("abstract")).alias("text"))
     vectors = features.embed(texts, "text", make_encoder, dim, "vector").select(
         "paper_id", F.col("vector").cast("array<double>").alias("vector")
@@ -64,10 +69,11 @@ def predict_intents(
     featured = features.edge_features(contexts, spark.read.parquet(f"{out}/vectors"), "context_vector")
     tables.write_plain(featured.drop("context_vector"), f"{out}/edge_features")
     featured = spark.read.parquet(f"{out}/edge_features")
-    labelled = featured.where("train_mask").withColumn("is_key", F.col("intent_code") > 0)
-    predicted = features.predict_edges(
-        featured, features.fit_intent(labelled), features.fit_importance(labelled)
-    )
+    labelled = featured.where("train_mask")
+    importance = None
+    if "isKeyCitation" in labelled.columns:
+        importance = features.fit_importance(labelled.where("isKeyCitation is not null"), "isKeyCitation")
+    predicted = features.predict_edges(featured, features.fit_intent(labelled), importance)
     tables.write_plain(predicted, f"{out}/edge_predictions")
     return spark.read.parquet(f"{out}/edge_predictions")
 
@@ -91,11 +97,21 @@ def rank_authors(
 
 
 def run(
-    spark: SparkSession, hops: str, authors: str, out: str, lam: float = DEFAULT_LAMBDA, make_encoder=None
+    spark: SparkSession,
+    hops: str,
+    authors: str,
+    out: str,
+    lam: float = DEFAULT_LAMBDA,
+    make_encoder=None,
+    log: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    papers, edges = prepare_graph(spark, *tables.scan_hops(spark, hops), out)
+    """The whole chain. `log` is a training log (CSV); its last λ then weighs the edges, not `lam`."""
+    papers, edges = prepare_graph(spark, *tables.scan_hops(spark, hops, multi_line), out)
     predictions = predict_intents(spark, papers, edges, out, make_encoder=make_encoder)
     writes = tables.read_csv(spark, authors, schemas.PAPER_AUTHORS).select("author_id", "paper_id")
+    if log is not None:
+        lam = features.last_decay(tables.read_csv(spark, log, schemas.TRAINING_LOG)).select("lambda").scalar()
     return rank_authors(predictions, writes, out, lam)
 
 
@@ -105,11 +121,18 @@ def main() -> None:
     ap.add_argument("--authors", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--lam", type=float, default=DEFAULT_LAMBDA)
+    ap.add_argument("--log", help="training log whose last decay is used instead of --lam")
+    ap.add_argument("--split-files", action="store_true", help="no field holds a line break")
     args = ap.parse_args()
     spark = build_session("citation chain")
     metrics.leaderboard(
-        run(spark, args.hops, args.authors, args.out, args.lam), "semantic_hp_frac", "author_id"
+        run(
+            spark, args.hops, args.authors, args.out, args.lam, log=args.log, multi_line=not args.split_files
+        ),
+        "semantic_hp_frac",
+        "author_id",
     ).show(truncate=False)
+    delete_landed(spark)
     spark.stop()
 
 

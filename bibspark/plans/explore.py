@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 
 from bibspark.operators import analytics, clean
-from bibspark.session import build_session
+from bibspark.session import build_session, delete_landed
 from bibspark.sources import tables
 
 QUESTIONS = ["search", "author", "authors", "topic", "network", "year", "top", "rejects", "sources"]
@@ -50,6 +50,7 @@ def main() -> None:
     args = ap.parse_args()
     spark = build_session("explore")
     ask(spark, args.index, args.question, args.value).show(50, truncate=False)
+    delete_landed(spark)
     spark.stop()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.operators import metrics
-from bibspark.session import build_session
+from bibspark.session import build_session, delete_landed
 from bibspark.sources import tables
 
 IMPACT = "cited_paper_id string, total_semantic_impact double, raw_citation_count bigint"
@@ -36,6 +36,7 @@ def main() -> None:
     # The header names the id and author columns, which differ between metadata files.
     meta = spark.read.options(**tables.CSV_OPTIONS, multiLine="true").csv(args.meta)
     report(tables.read_csv(spark, args.impact, IMPACT), meta, args.out).show(10, truncate=False)
+    delete_landed(spark)
     spark.stop()
 
 

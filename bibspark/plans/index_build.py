@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.operators import analytics, clean
-from bibspark.session import build_session
+from bibspark.session import build_session, delete_landed
 from bibspark.sources import feeds, tables
 
 
@@ -46,6 +46,7 @@ def main() -> None:
         spark, feeds.first_existing(spark, *args.arxiv), feeds.first_existing(spark, *args.s2), args.out
     )
     clean.stage_counts(**index).show()
+    delete_landed(spark)
     spark.stop()
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,26 +22,29 @@ def build_session(app: str = "bibspark", **settings: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or by the context's checkpoint folder.
 
-    Only a local master may run without the setting; it then gets a temporary
-    folder of its own. On a cluster a machine-local folder would be lost with
-    its executor, so the setting is required there.
+    It is required on every master: a folder of one machine would be lost with that
+    machine, and other executors could not read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named is None and current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="bibspark-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if current is None:
         spark.sparkContext.setCheckpointDir(named)
     return named or current
 
 
+# (application, path) of every table landed and not yet deleted.
+_LANDED: list[tuple[str, str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no earlier run has used."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LANDED.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +53,19 @@ def land(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_landed(spark: SparkSession) -> None:
+    """Delete what this application has landed: at the end of a job, when no result is read any more."""
+    own = [x for x in _LANDED if x[0] == spark.sparkContext.applicationId]
+    for entry in own:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _LANDED.remove(entry)
+
+
+def stamp(spark: SparkSession, folder: str) -> str:
+    """Names, lengths and change times in `folder`: changes when a table below it is written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return ",".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in found))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bibspark import schemas
 from bibspark.sources.feeds import first_existing
@@ -15,6 +16,7 @@ INDEX_SCHEMAS = {
     "collaborations": schemas.COLLABORATIONS,
     "rejected_papers": schemas.REJECTED,
 }
+# The names of the layers' files, below.
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -38,20 +40,48 @@ def load_indexes(spark: SparkSession, base: str, names: list[str] | None = None)
     return found
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV whose quoted fields may span lines. Such a file is read by one task: keep many files."""
-    return spark.read.options(**CSV_OPTIONS, multiLine="true").schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header.
 
+    With `multi_line`, quoted fields may span lines, and each file is read by one task, as a
+    line break does not tell where a record ends: land such data as many files. Without
+    it, files are split by size like any other.
+    """
+    return spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower()).schema(schema).csv(path)
+
+
+def _in_file_order(df: DataFrame) -> DataFrame:
+    """Adds `seq`, which grows along each file: a split's first byte plus the row's place in it.
+
+    A row has at least one byte, so a split's rows stay before those of the next one.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.select("*", (F.col("_metadata.file_block_start") + place).alias("seq"))
 
-def scan_hops(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Seed, first and second layer; the rescued seed table (`_v2`) is preferred."""
+
+def _with_flag(spark: SparkSession, path: str, schema: str, flag: str = "isKeyCitation") -> str:
+    """`schema` in the order of the file's header, with the flag where the header has it."""
+    types = dict(x.strip().split(" ", 1) for x in schema.split(",")) | {flag: "boolean"}
+    header = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    return ", ".join(f"{c} {types[c]}" for c in header) if flag in header else schema
+
+
+def scan_hops(
+    spark: SparkSession, base: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seed, first and second layer, each with its order `seq`; the rescued seed table (`_v2`) is preferred.
+
+    The first layer has `isKeyCitation` if its header does. `multi_line=False` reads files
+    without line breaks inside fields in splits.
+    """
     hop0 = first_existing(
         spark, f"{base}/hop0_metadata_final_v2.csv", f"{base}/hop0_metadata_final.csv"
     )
+    hop1 = f"{base}/hop1_final_dataset_rescued.csv"
     return (
-        read_csv(spark, hop0, schemas.HOP0),
-        read_csv(spark, f"{base}/hop1_final_dataset_rescued.csv", schemas.HOP1),
-        read_csv(spark, f"{base}/hop2_final_dataset.csv", schemas.HOP2),
+        _in_file_order(read_csv(spark, hop0, schemas.HOP0, multi_line)),
+        _in_file_order(read_csv(spark, hop1, _with_flag(spark, hop1, schemas.HOP1), multi_line)),
+        _in_file_order(read_csv(spark, f"{base}/hop2_final_dataset.csv", schemas.HOP2, multi_line)),
     )
 
 

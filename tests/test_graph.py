@@ -1,11 +1,14 @@
 """Layers, edges, clusters, neighbourhoods, features and ingest."""
 
 import json
+import math
 
 import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
+from bibspark import schemas
 from bibspark.operators import features as f
 from bibspark.operators import graph as g
 from bibspark.sources import feeds, payloads, tables
@@ -198,17 +201,24 @@ def test_whole_chain(spark, tmp_path):
     pairs = citing_pairs(40)
     labels = ["background", "method", "result"]
     year = {f"n{i}": 1980 + i for i in range(40)}
-    first = [(a, b, f"title {a}", None, year[a], labels[i % 3], f"as in {labels[i % 3]} of, \"{b}\"\nmore") for i, (a, b)
-             in enumerate(pairs) if b in ("n0", "n1", "n2")]
+    first = [(a, b, f"title {a}", None, year[a], labels[i % 3], f"as in {labels[i % 3]} of, \"{b}\"\nmore",
+              i % 3 == 1) for i, (a, b) in enumerate(pairs) if b in ("n0", "n1", "n2")]
     second = [(a, b, f"title {a}", "text", year[a], None) for a, b in pairs if b not in ("n0", "n1", "n2")]
     tables.export_csv(spark.createDataFrame([("n0", "Zero", "abc", 1980, "Ann, Bo")], H0 + ", authors string"),
                       f"{base}/hop0_metadata_final.csv")
-    tables.export_csv(spark.createDataFrame(first, H1.replace(", seq int", "")), f"{base}/hop1_final_dataset_rescued.csv")
+    tables.export_csv(spark.createDataFrame(first, H1.replace(", seq int", "") + ", isKeyCitation boolean"),
+                      f"{base}/hop1_final_dataset_rescued.csv")
+    tables.export_csv(spark.createDataFrame([(1, 9.0, 0.4, 0.1), (2, 3.0, 0.6, 0.3)], schemas.TRAINING_LOG).coalesce(1),
+                      f"{base}/log.csv")
     tables.export_csv(spark.createDataFrame(second, H2.replace(", seq int", "")), f"{base}/hop2_final_dataset.csv")
     tables.export_csv(spark.createDataFrame([(f"n{i}", f"w{i % 5}", f"W{i % 5}", "S2") for i in range(40)],
                       "paper_id string, author_id string, author_name string, source string"), f"{base}/authors.csv")
     out = str(tmp_path / "out")
-    ranking = citation_chain.run(spark, base, f"{base}/authors.csv", out)
+    ranking = citation_chain.run(spark, base, f"{base}/authors.csv", out, log=f"{base}/log.csv")
+    # the last λ of the log weighs the edges, and importance is that of the flag
+    weighted = spark.read.parquet(f"{out}/weighted_edges")
+    assert weighted.where(F.abs(F.col("decay_factor") - F.exp(F.col("delta_t") * -0.3)) > 1e-9).count() == 0
+    assert weighted.where("raw_importance between 0 and 1").count() == weighted.count()
     assert 0 < ranking.count() <= 5 and ranking.where("normal_hp_frac <= 0").count() == 0
     papers = spark.read.parquet(f"{out}/papers")
     assert papers.where("layer = 0").count() == 1 and papers.count() == len({x for p in pairs for x in p})
@@ -220,3 +230,38 @@ def test_whole_chain(spark, tmp_path):
     meta = spark.createDataFrame([("n0", "Zero", 1980, "Ann, Bo")], "source_paper_id string, title string, year int, authors string")
     board = impact_report.report(impact, meta, str(tmp_path / "report")).collect()
     assert [(r.author, r.total_semantic_impact) for r in board] == [("Ann", 2.5), ("Bo", 2.5)]
+
+
+def test_layers_are_read_in_file_order(spark, tmp_path):
+    """The first of two rows of one pair is kept, though the second sorts before it; no flag, no column."""
+    from bibspark.operators import clean
+
+    base = tmp_path / "hops"
+    base.mkdir()
+    (base / "hop0_metadata_final.csv").write_text("source_paper_id,title,abstract,year,authors\nr,Z,,1990,A\nr,A,,1991,B\n")
+    (base / "hop1_final_dataset_rescued.csv").write_text(
+        "hop1_id,hop0_id,hop1_title,hop1_abstract,hop1_year,intent_label,citation_text\n"
+        "a,r,Zed,,2000,method,z\na,r,Abc,,2000,method,a\n")
+    (base / "hop2_final_dataset.csv").write_text(
+        "hop2_id,hop1_id,hop2_title,hop2_abstract,hop2_year,citation_text\nb,a,Zwei,,2001,z\nb,a,Acht,,2001,a\n")
+    for multi_line in (True, False):
+        layers = clean.clean_layers(*tables.scan_hops(spark, str(base), multi_line), ["seq"])
+        assert [h.first()[c] for h, c in zip(layers, ("title", "hop1_title", "hop2_title"))] == ["Z", "Zed", "Zwei"]
+        assert "isKeyCitation" not in layers[1].columns
+
+
+def test_attention_with_a_vector_of_the_edge(spark):
+    from bibspark.operators import features
+
+    v = {"a": [1.0, 2.0], "b": [0.5, -1.0], "c": [3.0, 1.0]}
+    edges = [("a", "c", 1.0, [2.0, 1.0]), ("b", "c", 4.0, [-1.0, 3.0]), ("b", "a", 0.0, [1.0, 1.0]), ("x", "a", 0.0, [1.0, 1.0])]
+    vectors = spark.createDataFrame(list(v.items()), "paper_id string, vector array<float>")
+    df = spark.createDataFrame(edges, "citing_id string, cited_id string, delta_t double, context array<float>")
+    got = {(r.citing_id, r.cited_id): (r.score, r.alpha)
+           for r in features.temporal_attention(df, vectors, 0.1, "context").collect()}
+    score = {(a, b): sum(x * y * z for x, y, z in zip(v[b], v[a], e)) / 2**0.5 * math.exp(-0.1 * t)
+             for a, b, t, e in edges if a in v}
+    assert set(got) == set(score)
+    for (a, b), (s, alpha) in got.items():
+        total = sum(math.exp(x) for (_, to), x in score.items() if to == b)
+        assert s == pytest.approx(score[a, b]) and alpha == pytest.approx(math.exp(score[a, b]) / total)
