@@ -14,6 +14,7 @@ STOPWORDS = [
     "use", "used", "paper", "study", "method", "results", "based",
     "a", "in", "is", "of", "to", "on", "as", "by", "at", "an", "be",
 ]
+# Fixed value: a topic word has at least so many letters.
 MIN_TOKEN_LENGTH = 4
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bibspark.functions import text as tx
 from bibspark.skew import keep_first, spread_join
 
+# The final layout, the stand-ins for missing fields, the label and year that mean "unknown".
 FINAL_COLUMNS = ["paper_id", "title", "abstract", "authors", "year", "source"]
 REASON = "failed_validation"
 NO_ABSTRACT = "No abstract available"

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from bibspark.operators import clean
 from bibspark.session import land
-from bibspark.skew import find_hot, keep_first, key_counts, spread_join
+from bibspark.skew import find_hot, keep_first, spread_join
 
-# Training code of each intent; anything else is unlabelled.
+# Training code of each intent, anything else is unlabelled; the year and the context
+# that stand for missing ones.
 INTENT_CODES = {"background": 0, "method": 1, "result": 2}
 UNLABELLED = -1
 MISSING_YEAR = 2020
 NO_CONTEXT = "No context provided"
+# Levels of a walk after which the tables of all levels are written as one.
 COMPACT_EVERY = 10
 
 
@@ -198,6 +200,7 @@ def active_cluster(citations: DataFrame, hop2_edges: DataFrame) -> DataFrame:
     return spread_join(citations, active, "citingPaperId", "left_semi")
 
 
+# The wording of the texts below is fixed: titles, years, sections, sentences and abstracts in this frame.
 def _said(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -386,7 +389,9 @@ def snowball(
     """Breadth-first over incoming citations from a one-row (paper_id) seed.
 
     Returns (paper_id, level) and (cited_id, citing_id, context) of the reached
-    papers. Each level is one semi join against the frontier, landed in the
+    papers. Each level is one semi join against the frontier, which Spark broadcasts
+    while it is small, so that the edges are then only scanned; hot keys are looked
+    for once. Levels are landed in the
     shared folder: lineage stays one level deep, a lost executor costs no more
     than the level at hand, and nothing but an emptiness check reaches the
     driver. With `max_papers` the reached papers are the first by (level, id).
@@ -394,13 +399,13 @@ def snowball(
     level = 0
     frontier = land(seed.select("paper_id", F.lit(0).alias("level")), "snowball")
     reached, total = frontier, 1
-    sizes = land(key_counts(edges, ["cited_id"]), "snowball_sizes")
+    hot = find_hot(edges, "cited_id")
     while not frontier.isEmpty() and (max_papers is None or total < max_papers):
         level += 1
         cited = frontier.select(F.col("paper_id").alias("cited_id"))
         found = (
             spread_join(
-                edges.select("cited_id", "citing_id"), cited, "cited_id", "left_semi", sizes=sizes
+                edges.select("cited_id", "citing_id"), cited, "cited_id", "left_semi", hot=hot
             )
             .select(F.col("citing_id").alias("paper_id"))
             .na.drop()

@@ -16,7 +16,6 @@ INDEX_SCHEMAS = {
     "collaborations": schemas.COLLABORATIONS,
     "rejected_papers": schemas.REJECTED,
 }
-# The names of the layers' files, below.
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -71,7 +70,7 @@ def scan_hops(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Seed, first and second layer, each with its order `seq`; the rescued seed table (`_v2`) is preferred.
 
-    The first layer has `isKeyCitation` if its header does. `multi_line=False` reads files
+    The files' names are fixed values. The first layer has `isKeyCitation` if its header does. `multi_line=False` reads files
     without line breaks inside fields in splits.
     """
     hop0 = first_existing(
