@@ -175,7 +175,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query("op8_suffix_buckets")
+@query(
+    "op8_suffix_buckets",
+    """
+    WITH texts AS (
+      SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+    places AS (SELECT r, doc_id, t, unnest(range(0, greatest(octet_length(t) - 49, 0))) AS p FROM texts),
+    strings AS (SELECT r, doc_id, p, array_slice(t, p + 1, p + 50) AS s FROM places),
+    firsts AS (SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s),
+    gone AS (
+      SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before
+      FROM strings JOIN firsts USING (s) WHERE first_id < doc_id),
+    numbered AS (
+      SELECT r, p, sum(CASE WHEN before IS NULL OR p - before > 50 THEN 1 ELSE 0 END)
+        OVER (PARTITION BY r ORDER BY p) AS k FROM gone),
+    spans AS (SELECT r, min(p) AS b, max(p) + 50 AS e FROM numbered GROUP BY r, k),
+    gaps AS (
+      SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS a, b AS z FROM spans
+      UNION ALL SELECT r, max(e), NULL FROM spans GROUP BY r),
+    kept AS (
+      SELECT r, string_agg(hex(array_slice(t, a + 1, coalesce(z, octet_length(t)))), '' ORDER BY a) AS h
+      FROM gaps JOIN texts USING (r) GROUP BY r),
+    sums AS (SELECT r, sum(e - b) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+    SELECT t.doc_id, octet_length(t.t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+      coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, hex(t.t)))) AS kept_sha256
+    FROM texts t LEFT JOIN sums USING (r) LEFT JOIN kept k USING (r)""",
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     lengths = F.transform("spans", lambda s: s["end"] - s["begin"])
