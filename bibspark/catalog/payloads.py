@@ -7,16 +7,26 @@ from bibspark import schemas
 
 
 def inverted_docs(t) -> DataFrame:
-    """(doc_id, inverted): word → positions of the whole text; blank words leave gaps."""
-    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "word"))
-    spots = (
-        words.where("word <> ''")
-        .groupBy("doc_id", "word")
-        .agg(F.collect_list("pos").alias("positions"))
+    """(doc_id, inverted): word → positions of the whole text; blank words leave gaps.
+
+    Built inside the row, without a shuffle: words are sorted with their positions, and each
+    run of one word is an entry. A null text has a null map.
+    """
+    words = F.transform(
+        F.split("text", " ", -1), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))
+    )
+    spots = t.documents.select(
+        "doc_id", F.sort_array(F.filter(words, lambda x: x["word"] != "")).alias("spots")
     )
-    return spots.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("inverted")
+    n, word = F.size("spots"), lambda k: F.get("spots", k - 1)["word"]
+    every = F.when(n > 0, F.sequence(F.lit(1), n)).when(n == 0, F.array().cast("array<int>"))
+    heads = spots.withColumn("heads", F.filter(every, lambda k: (k == 1) | (word(k) != word(k - 1))))
+    ends = F.concat(F.slice("heads", 2, 1 << 30), F.array(n + 1))
+    runs = F.arrays_zip(F.col("heads").alias("at"), F.slice(ends, 1, F.size("heads")).alias("end"))
+    positions = F.transform(
+        runs, lambda r: F.transform(F.slice("spots", r["at"], r["end"] - r["at"]), lambda x: x["pos"])
     )
+    return heads.select("doc_id", F.map_from_arrays(F.transform("heads", word), positions).alias("inverted"))
 
 
 def crossref_json(t) -> DataFrame:
