@@ -36,7 +36,7 @@ BLOCK, QUERIES, SAMPLE, SEED = 16_384, 1_024, 4_096, 17
 #: Standard deviations of the estimate that the bound allows for.
 BOUND = 5.0
 #: Distances of a query block and a vector block held at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
