@@ -33,11 +33,10 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     def run(batches):
         coder = encoder(tokenizer)
         for piece in pieces(batches, "text"):
-            coded = coder.encode([t or "" for t in piece["text"].to_pylist()])
-            moved = (np.frombuffer(b"".join(coded), "<u2") + np.uint16(1)).tobytes()
-            ends = np.cumsum([0, *map(len, coded)]).tolist()
+            flat, bounds = coder.encode(piece["text"])
+            buffers = [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(flat + np.uint16(1))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([moved[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], ["numbers"]
+                [pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers)], ["numbers"]
             )
 
     numbers = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "numbers binary")

@@ -34,6 +34,8 @@ SCHEMA = "part int, before long, doc_id long, n_tokens long, ids array<int>"
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
+#: Bytes of text that are cut into parts at once.
+PARTS_BYTES = 4 << 20
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -41,12 +43,14 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         coder, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
-        for piece in pieces(batches, "text"):
-            coded = coder.encode([t or "" for t in piece["text"].to_pylist()])
-            sizes = np.array([len(c) // 2 + 1 for c in coded], np.int64)
-            ids = np.frombuffer(b"".join(c + end for c in coded), "<u2").astype(np.int32)
+        for piece in pieces(batches, "text", PARTS_BYTES):
+            flat, bounds = coder.encode(piece["text"])
+            sizes = np.diff(bounds) + 1
             offsets = np.concatenate([[0], np.cumsum(sizes)])
+            ids = np.full(offsets[-1], end_id, np.int32)
+            inside = np.ones(len(ids), bool)
+            inside[offsets[1:] - 1] = False
+            ids[inside] = flat
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(sizes), part, np.int32)),
@@ -67,6 +71,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode `docs` and write them below `path`."""
     writer = encode(docs, tokenizer, end_id).write.option("compression", "zstd")
     for key, value in {
+        "parquet.compression.codec.zstd.level": 1,
         "parquet.writer.version": "v2",
         "parquet.block.size": ROW_GROUP_BYTES,
         "parquet.page.size": PAGE_BYTES,
@@ -81,11 +86,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the files below `path`; unread columns are not decoded."""
     rows = spark.read.schema(SCHEMA).parquet(path)
-    # one row a file: the window and the join see as many rows as there are files
+    # one small row a file, however many documents: that is all the window and the broadcast see
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
-    return rows.join(places, "part").select(
+    return rows.join(F.broadcast(places), "part").select(
         "doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids"
     )
 

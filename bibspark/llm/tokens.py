@@ -1,80 +1,121 @@
 """Token ids of whole texts by a public tokenizer, quickly and with bounded memory.
 
-A text is cut at single spaces and line breaks that touch no other white space. The
+A text is cut before single spaces and line breaks that touch no other white space. The
 tokenizer's own splitting always cuts there (a space belongs to the word behind it,
 a line break stands alone), so the ids of a text are those of its parts in order.
-Parts recur; a task encodes each new one through the tokenizer once and keeps the
-ids of the frequent ones. A text with touching, leading or trailing white space
-goes through the tokenizer whole.
+Arrow cuts the texts of a batch and numbers their distinct parts; a worker encodes new parts
+through the tokenizer, many in one call, and keeps the ids of those that keep coming. A text in which white space touches, leads or trails,
+or which holds a special token's name, goes through the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Most parts whose ids a worker keeps between batches.
-KEPT_PARTS = 400_000
+#: Parts whose ids a worker keeps at most between batches.
+KEPT_PARTS = 500_000
 #: Parts encoded at once.
 AT_ONCE = 20_000
 
-_TOUCHING = re.compile(r"\s\s|\A\s|\s\Z")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters before this are letters to the tokenizer too.
+_PLAIN = "\u2000"
+
 _ENCODERS: dict[str, PartEncoder] = {}
 
 
 class PartEncoder:
-    """Ids of texts, as little-endian 16-bit numbers, of one vocabulary file of at most 65,536 ids."""
+    """Ids of texts, as little-endian 16-bit numbers, of one byte-level vocabulary file of at most 65,536 ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         if hasattr(self.tokenizer.model, "_resize_cache"):  # each part is encoded once, so its own cache only costs
             self.tokenizer.model._resize_cache(0)
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = re.compile("|".join(re.escape(t.content) for t in special)) if special else None
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the byte-level alphabet writes a space as U+0120 and a line break as U+010A
+        self.opens = np.zeros(1 << 16, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode parts that each begin with a space or a line break, many in one call."""
-        for low in range(0, len(parts), AT_ONCE):
-            some = parts[low : low + AT_ONCE]
-            starts = np.cumsum([0, *map(len, some)])
-            coded = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            raw = np.array(coded.ids, "<u2").tobytes()
-            # offsets leave out leading spaces, so a token's end, not its start, tells its part
-            ends = np.array([end for _, end in coded.offsets], np.int64)
-            cuts = (np.searchsorted(ends, starts, "right") * 2).tolist()
-            self.known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not text or _TOUCHING.search(text) or (self.special and self.special.search(text)):
-                split.append(None)
+        """Encode parts that begin with a line break, or else follow a space."""
+        known, stems = self.known, {}
+        for part in parts:
+            stem = part.rstrip(_MARKS)
+            if not part or part[-1].isspace():
+                known[part] = b""  # it would touch the space or line break behind it
+            elif len(stem) < len(part) and stem and stem[-1].isalpha() and stem[-1] < _PLAIN:
+                # marks behind a letter are always split off as one run, so a stem serves all its endings
+                stems[part] = stem
             else:
-                head, *rest = text.replace("\n", " \n").split(" ")
-                split.append([head, *[p if p[0] == "\n" else " " + p for p in rest]])
-        wanted = {p for parts in split if parts for p in parts[1:]}
-        self._learn([p for p in wanted if p not in self.known])
-        find = self.known.__getitem__
+                stems[part] = part
+        wanted = [s for s in set(stems.values()) if s not in known]
+        for low in range(0, len(wanted), AT_ONCE):
+            some = wanted[low : low + AT_ONCE]
+            joined = "".join([p if p[0] == "\n" else " " + p for p in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
+            # a space or line break comes first in its part and nowhere else
+            cuts = (np.flatnonzero(self.opens[ids]) * 2).tolist()
+            raw = ids.tobytes()
+            known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, [*cuts[1:], len(raw)], strict=True))
+        for part, stem in stems.items():
+            if part is not stem:
+                marks = part[len(stem) :]
+                if marks not in self.marks:
+                    self.marks[marks] = self.whole(marks)
+                known[part] = known[stem] + self.marks[marks]
+        if len(self.marks) > AT_ONCE:
+            self.marks.clear()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin (and the last one's end)."""
+        texts = pc.fill_null(texts, "")
+        # a line break before the text makes its first part like the others; its id is cut off again
+        broken = pc.replace_substring(texts, "\n", " \n")
+        parts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n"), broken, pa.scalar("")), " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        self._learn([p for p, i in zip(distinct, found) if i is None])
+        found = [self.known[p] if i is None else i for p, i in zip(distinct, found)]
+        raw = np.frombuffer(b"".join(found), "<u2")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        # no ids: a part that does not stand alone, so its text has to go whole
+        alone = sizes > 0
+        begins = np.cumsum(sizes) - sizes
+        place = coded.indices.to_numpy()
+        lengths = sizes[place]
+        ends = np.cumsum(lengths)
+        ids = raw[np.repeat(begins[place] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = parts.offsets.to_numpy()
+        at = np.concatenate([[0], ends])[bounds]
+        not_alone = np.concatenate([[0], np.cumsum(~alone[place])])[bounds]
+        whole = np.diff(not_alone) > 0
+        whole |= np.array([c.isspace() for c in pc.utf8_slice_codeunits(texts, 0, 1).to_pylist()], bool)
+        for special in self.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         out = [
-            (self.whole(text) if text else b"") if parts is None
-            else self.whole(parts[0]) + b"".join(map(find, parts[1:]))
-            for text, parts in zip(texts, split)
+            np.frombuffer(self.whole(texts[k].as_py()), "<u2") if apart else ids[a + 1 : b]
+            for k, (a, b, apart) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), whole.tolist()))
         ]
         if len(self.known) > KEPT_PARTS:
-            self.known = {p: self.known[p] for p in wanted} if len(wanted) < KEPT_PARTS else {}
-        return out
+            # parts of the latest texts stay: among them are those that keep coming
+            self.known = dict(zip(distinct, found)) if len(distinct) < KEPT_PARTS else {}
+        return np.concatenate([*out, np.zeros(0, "<u2")]), np.cumsum([0, *map(len, out)])
 
 
 def encoder(path: str) -> PartEncoder:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,8 +24,10 @@ def test_parts_give_the_ids_of_whole_texts(coder):
     bits = [*"ab'sZ 1.,\n\t  é漢\x1c\x85!🙂<|>", " ", "\n", "'s", "the", "<|endoftext|>", "don't", " A%%%", "é...", "b…",
             "漢!!", "9,", " ", "᠎", " x's.", " y", " z\n"]
     texts = ["".join(rng.choices(bits, k=rng.randrange(25))) for _ in range(3000)]
-    assert coder.encode(texts) == [coder.whole(t) if t else b"" for t in texts]
-    assert coder.encode(texts[:50]) == [coder.whole(t) if t else b"" for t in texts[:50]]
+    for some in (texts, texts[:50], ["one\ntwo, three"], [], [""], [None, "a"]):
+        ids, bounds = coder.encode(pa.array(some, pa.string()))
+        got = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        assert got == [coder.whole(t) if t else b"" for t in some]
 
 
 def test_round_trip_and_places(spark, odd, coder):
