@@ -263,9 +263,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, that no item of `benchmark` contaminates."""
+    """The rows of `docs`, all columns, that no item of `benchmark` contaminates.
+
+    The contaminated keys are landed, so that Spark knows their size before it plans the
+    join: few are broadcast and the texts stay where they are, many are shuffled.
+    """
     bad = contaminated(docs, benchmark, threshold).select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")
-    ).distinct()
+    )
+    bad = land(bad.distinct(), "contaminated")
     same = docs["doc_id"].cast("long").eqNullSafe(bad["_doc_id"]) & (F.xxhash64(docs["text"]) == bad["_text_hash"])
     return docs.join(bad, same, "left_anti")
