@@ -36,7 +36,7 @@ from bibspark.session import land
 SEED, THRESHOLD = 5, 0.8
 #: Slots of the bitmap, as a power of two.
 SLOTS = 23
-#: Token hashes a worker remembers.
+#: Token hashes a task remembers.
 REMEMBERED = 300_000
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -51,14 +51,11 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
-def token_hashes(text: str) -> np.ndarray:
+def token_hashes(text: str, known: _Hashes) -> np.ndarray:
     tokens = _TOKEN.findall(text.lower())
-    if len(_HASHES) > REMEMBERED:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    if len(known) > REMEMBERED:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -77,9 +74,9 @@ def items_of(benchmark: DataFrame, seed: int = SEED) -> DataFrame:
     """(item, item_id, size, tokens, seeds): each row of `benchmark` as token hashes and seeds."""
 
     def run(batches):
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, hashes = TaskContext.get().partitionId(), 0, _Hashes()
         for batch in batches:
-            rows = [token_hashes(t or "") for t in batch["text"].to_pylist()]
+            rows = [token_hashes(t or "", hashes) for t in batch["text"].to_pylist()]
             seeds = [windows(r, min(seed, len(r))) if len(r) else r for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -118,9 +115,9 @@ def shared_places(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 
     def run(batches):
         maps = {size: np.unpackbits(p).view(bool) for size, p in packed.items()}
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, hashes = TaskContext.get().partitionId(), 0, _Hashes()
         for piece in pieces(batches, "text"):
-            rows = [token_hashes(t or "") for t in piece["text"].to_pylist()]
+            rows = [token_hashes(t or "", hashes) for t in piece["text"].to_pylist()]
             lengths = np.array([len(r) for r in rows], np.int64)
             every = np.concatenate([*rows, np.zeros(0, np.uint64)])
             begins = np.cumsum(lengths) - lengths

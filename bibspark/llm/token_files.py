@@ -35,7 +35,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 #: Bytes of text that are cut into parts at once.
-PARTS_BYTES = 4 << 20
+PARTS_BYTES = 2 << 20
+#: Rows that go to a worker at once while files are written: texts are long.
+ROWS_AT_ONCE = 500
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -62,6 +64,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ["part", "before", "doc_id", "n_tokens", "ids"],
             )
             before += int(offsets[-1])
+            pa.default_memory_pool().release_unused()
 
     order = ["doc_id", F.xxhash64("text")]
     return documents_of(docs).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
@@ -80,7 +83,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
         "parquet.enable.dictionary#ids.list.element": "true",
     }.items():
         writer = writer.option(key, str(value))
-    writer.parquet(path)
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(ROWS_AT_ONCE))
+    try:
+        writer.parquet(path)
+    finally:
+        conf.set(key, before)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +110,7 @@ def digest(tokens: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch["ids"]
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view("<u4")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             sums = [zlib.crc32(flat[e - n : e].data) for e, n in zip(ends.tolist(), sizes.tolist())]

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts whose ids a worker keeps at most between batches.
-KEPT_PARTS = 500_000
+KEPT_PARTS = 300_000
 #: Parts encoded at once.
 AT_ONCE = 20_000
 
