@@ -3,7 +3,7 @@
 Each source has a target number of words. Every document first gets the certain whole
 copies, as many as fit the source's rate (target over size), and the rest of the rate is
 the probability p of one copy more. For that, documents get a random number u from a hash
-of their id and are ranked by the ratio of odds u/(1-u) : p/(1-p); the source's ranks
+of their id (of more than the id where a source has it twice) and are ranked by the ratio of odds u/(1-u) : p/(1-p); the source's ranks
 are taken in order until the words left over are used up. An optional column scales
 the probabilities of documents within a source, which makes them unequal there too;
 Pareto ranks keep each document's chance close to its p although the size is fixed.
@@ -16,11 +16,12 @@ numbered by a range sort with an offset per partition. Sums over cells see CELLS
 a source.
 
 Defined results: a null text has size 0; null sources form one source, numbered last.
-Documents of size 0 are taken as often as their rate says in words, that is 0. Rows that
-share a doc_id are ranked by a further hash of their text; whole repeated rows share a
-rank, and are taken or left together in the finest cell. Rows without doc_id hash as
-an empty id. A source of size 0 has target 0. An empty table gives no rows. Only doc_id,
-text and source (and the scaling column) are read.
+Documents of size 0 are taken as often as their rate says in words, that is 0. Rows of one
+source that share a doc_id are ranked each for itself: their u comes from the id, a hash of
+their text (and scale) and their number among the rows alike in these. Which of such rows
+has which number is open, as they are interchangeable. A missing doc_id is an empty id, shared
+or not like any other. A source of size 0 has target 0. An empty table gives no rows. Only
+doc_id, text and source (and the scaling column) are read.
 """
 
 from __future__ import annotations
@@ -40,15 +41,54 @@ DIGITS = 13
 
 
 def sized(docs: DataFrame, scale: str | None = None) -> DataFrame:
-    """(doc_id, source, size, u, scale): the words of each document and its random number."""
+    """(doc_id, source, size, hash, scale, number, u): words, random number and unique key of each document.
+
+    Within a source, doc_id, hash and number name one row.
+    """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(
+    scaling = F.lit(1.0) if scale is None else F.col(scale).cast("double")
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         size.alias("size"),
-        uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("u"),
-        (F.lit(1.0) if scale is None else F.col(scale).cast("double")).alias("scale"),
+        text_hash(scaling).alias("hash"),
+        scaling.alias("scale"),
+        F.spark_partition_id().alias("at"),
     )
+    rows = land(rows, "words")
+    shared = rows.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = land(shared.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source")), "shared-ids")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    alone = rows.join(shared, same, "left_anti").drop("at")
+    alone = alone.withColumns({"number": F.lit(0).cast("long"), "u": uniform(name)})
+    again = numbered(rows.join(shared, same, "left_semi"), ["doc_id", "source", "hash"]).drop("at")
+    further = F.concat_ws("/", name, F.col("hash").cast("string"), F.col("number").cast("string"))
+    return alone.unionByName(again.withColumn("u", uniform(further)))
+
+
+def text_hash(scaling: Column | None = None) -> Column:
+    """A hash of a row's text and scale."""
+    return F.xxhash64(F.col("text").cast("string"), F.lit(1.0) if scaling is None else scaling)
+
+
+def numbered(rows: DataFrame, alike: list[str]) -> DataFrame:
+    """Landed `rows` with their `number`, from 0, among those alike; `at` is the partition that wrote each.
+
+    A task gets no more rows that are alike than one partition wrote.
+    """
+    counts = rows.groupBy(*alike, "at").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*alike).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        *[F.col(c).alias(f"_{c}") for c in [*alike, "at"]], F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n")
+    )
+    inside = Window.partitionBy(*alike, "at").orderBy("at")
+    placed = rows.withColumn("_place", F.row_number().over(inside) - 1)
+    same = F.col("at") == F.col("_at")
+    for c in alike:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    number = (F.col("_n") + F.col("_place")).cast("long").alias("number")
+    return placed.join(before, same).select(*rows.columns, number)
 
 
 def uniform(key: Column) -> Column:
@@ -109,7 +149,7 @@ def _of_source(rows: DataFrame, lookup: DataFrame, how: str = "inner") -> DataFr
 
 
 def sample(sizes: DataFrame, aims: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) from `sized` rows and `targets` rows."""
+    """(doc_id, source, size, hash, source_size, target, copies) from `sized` rows and `targets` rows."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     certain = F.floor(rate)
     p = F.least(F.greatest((rate - certain) * F.col("scale"), F.lit(0.0)), F.lit(1.0))
@@ -162,15 +202,17 @@ def sample(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     closest = (
         taken.where(~first & F.expr("certain < 2 and size > 0 and abs(missing - size) < abs(missing)"))
         .groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")), "rank", "doc_id", "size")).alias("x"))
-        .select("source", F.col("x.doc_id").alias("last_id"), F.col("x.size").alias("last_size"))
+        .agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")), "rank", "doc_id", "hash", "number")).alias("x"))
+        .select("source", *[F.col(f"x.{c}").alias(f"last_{c}") for c in ("doc_id", "hash", "number")])
     )
     out = _of_source(taken, closest, "left")
-    last = F.col("doc_id").eqNullSafe(F.col("last_id")) & (F.col("size") == F.col("last_size")) & ~first
+    last = F.col("doc_id").eqNullSafe(F.col("last_doc_id")) & ~first
+    last &= (F.col("hash") == F.col("last_hash")) & (F.col("number") == F.col("last_number"))
     return out.select(
         "doc_id",
         "source",
         "size",
+        "hash",
         "source_size",
         "target",
         (F.col("certain") + (first | F.coalesce(last, F.lit(False))).cast("int")).alias("copies"),
@@ -184,17 +226,37 @@ def mix(sizes: DataFrame, weights: list[float], share: float) -> DataFrame:
 
 
 def repeat(docs: DataFrame, weights: list[float], share: float) -> DataFrame:
-    """The rows of `docs`, all columns, as often as the mix takes them."""
+    """The rows of `docs`, all columns, as often as the mix takes them.
+
+    Of rows alike in doc_id, source and text, as many get one copy more as the mix says, whichever they are.
+    """
     mixed = mix(sized(docs), weights, share)
-    # rows of one doc_id with different texts have their own sizes and may be taken differently often
-    key = ["doc_id", "source", "size"]
-    often = mixed.groupBy(*key).agg(F.max("copies").alias("copies")).where("copies > 0")
-    of = often.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("copies").alias("_copies"))
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0))
-    same = (
-        docs["doc_id"].cast("long").eqNullSafe(of["_doc_id"])
-        & docs["source"].cast("string").eqNullSafe(of["_source"])
-        & (size == of["_size"])
+    alike = ["doc_id", "source", "hash"]
+    often = mixed.groupBy(*alike).agg(
+        F.min("copies").alias("_copies"), F.sum(F.col("copies")).alias("_all"), F.count(F.lit(1)).alias("_rows")
+    )
+    of = land(
+        often.where("_all > 0").select(
+            *[F.col(k).alias(f"_{k}") for k in alike],
+            "_copies",
+            (F.col("_all") - F.col("_copies") * F.col("_rows")).alias("_more"),
+        ),
+        "copies",
+    )
+    doc = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        text_hash().alias("hash"),
     )
-    joined = docs.join(of, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return joined.select(*[docs[c] for c in docs.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    same &= F.col("hash") == F.col("_hash")
+    copies = doc.join(of.where("_more = 0"), same).select("doc", "_copies")
+    # rows alike that are not all taken equally often are numbered
+    uneven = land(of.where("_more > 0"), "uneven-copies")
+    if uneven.limit(1).count():
+        some = land(doc.join(uneven, same).withColumn("at", F.spark_partition_id()), "uneven-rows")
+        more = (F.col("number") < F.col("_more")).cast("int")
+        copies = copies.union(numbered(some.drop(*[f"_{k}" for k in alike]), alike).select("doc", F.col("_copies") + more))
+    out = copies.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select("doc.*")

@@ -91,3 +91,28 @@ def test_odd_documents(odd, nothing):
     assert repeated.columns == odd.columns and mixing.repeat(nothing, [3.0], 1.5).count() == 0
     taken = sum(r.size * r.copies for r in got)
     assert sum(words(r.text) for r in repeated.collect()) == taken
+
+
+@pytest.mark.parametrize("texts", [lambda i: f"{i} " * 100, lambda i: "w " * 100])
+def test_rows_without_an_id_are_ranked_each_for_itself(spark, texts):
+    """400 of 1,000 rows have no id; words come to the target within one document, whether texts differ or not."""
+    rows = [(i if i >= 400 else None, texts(i), "s") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(mixing.sized(docs), [1.0], 0.505).collect()
+    assert len(got) == 1000 and abs(sum(r.size * r.copies for r in got) - 50_500) <= 50
+    without = sum(r.copies for r in got if r.doc_id is None)
+    assert 150 < without < 250
+    again = mixing.mix(mixing.sized(docs.repartition(7)), [1.0], 0.505).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    repeated = mixing.repeat(docs, [1.0], 0.505).collect()
+    assert sum(r.doc_id is None for r in repeated) == without
+    assert len(repeated) == sum(r.copies for r in got)
+
+
+def test_one_row_closes_the_gap(spark):
+    """Rows of one id and size: 3 of 10 are taken, and one of them more than once where the share asks for it."""
+    docs = spark.createDataFrame([(5, f"a b c {i}", "s") for i in range(10)], "doc_id long, text string, source string")
+    for share, wanted in ((0.3, 3), (1.1, 11)):
+        got = mixing.mix(mixing.sized(docs), [1.0], share).collect()
+        assert sum(r.copies for r in got) == wanted
+        assert mixing.repeat(docs, [1.0], share).count() == wanted
