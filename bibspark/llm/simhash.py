@@ -31,7 +31,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.llm.columns import documents_of, pieces, raw_texts
@@ -79,15 +79,16 @@ def fingerprints_of(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row, as a signed long."""
+def fingerprints(docs: DataFrame, **also: Column) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every row, as a signed long; with further long columns of its text."""
+    names = ["doc_id", *also]
 
     def run(batches):
         for piece in pieces(batches, "text"):
             fps = fingerprints_of(raw_texts(piece)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[piece[n] for n in names], pa.array(fps)], [*names, "fp"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, fp long")
+    return documents_of(docs).withColumns(also).mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def covering_masks(bits: int = BITS, radius: int = RADIUS) -> list[int]:
@@ -155,15 +156,40 @@ def groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, without all but one document of each group.
+def keep_one(docs: DataFrame, nameless: bool = False) -> DataFrame:
+    """The rows of `docs`, all columns, without all but one row of each group of linked fingerprints.
 
-    The document with the smallest doc_id stays, once even if its row is repeated
-    (of different rows with one doc_id, that with the least hash of its text). Rows
-    without doc_id stay, as they belong to no group.
+    The row with the smallest doc_id stays, of different texts with that doc_id the one
+    with the least hash; one row of those alike in both. Rows of one doc_id whose texts
+    are not linked are in groups of their own. Rows without doc_id stay, unless `nameless`:
+    then they link and are linked like any other, and one of them stays only in a
+    group without any doc_id.
     """
-    grouped = groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    row = docs.where("doc_id is not null").join(grouped, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = row.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
-    return once.unionByName(docs.where("doc_id is null"))
+    text = F.col("text").cast("string")
+    # two hashes of different seeds tell texts apart also among very many rows without an id
+    hashes = {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
+    taking_part = docs if nameless else docs.where("doc_id is not null")
+    marked = land(fingerprints(taking_part, **hashes), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *hashes)
+    first = land(marked.groupBy("fp").agg(F.min(row).alias("first")), "distinct-fingerprints")
+    linked = components(links(first.select("fp")))
+    of_group = first.join(linked, first.fp == linked.node, "left").groupBy(F.coalesce("label", "fp").alias("label"))
+    kept = of_group.agg(F.min("first").alias("x")).select("x.doc_id", "x.h1", "x.h2")
+    kept = land(kept.select(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")), "kept")
+    repeated = marked.groupBy("doc_id", *hashes).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = land(repeated.toDF("_id", "_h1", "_h2"), "repeated")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in kept.columns]
+    once = kept.alias("a").join(repeated.alias("b"), same, "left_anti")
+    several = land(kept.alias("a").join(repeated.alias("b"), same, "left_semi"), "kept-repeated")
+    doc = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"),
+        F.col("doc_id").cast("long").alias("id"),
+        *[h.alias(name) for name, h in hashes.items()],
+    )
+    of = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("id").eqNullSafe(F.col("_id"))
+    out = doc.join(once, of).select("doc.*")
+    if several.limit(1).count():
+        # rows alike in id and text: combined before the shuffle, however many they are
+        one = doc.join(several, of).groupBy("id", "h1", "h2").agg(F.first("doc").alias("doc"))
+        out = out.unionByName(one.select("doc.*"))
+    return out if nameless else out.unionByName(docs.where("doc_id is null"))

@@ -21,8 +21,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of linked fingerprints."""
-    return simhash.keep_one(docs)
+    """One document, the one with the smallest doc_id if any has one, of each group of linked fingerprints."""
+    return simhash.keep_one(docs, nameless=True)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from bibspark.llm import simhash
 from bibspark.llm.components import components
 
@@ -94,3 +95,27 @@ def test_one_of_each_group_stays(odd, nothing):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2 and len(set(ids)) == len(ids) - 1
     assert {0, 1, 4, 5, 7} <= set(ids) and not {2, 3, 6} & set(ids)
+
+
+A, B, C = ("the red fox ran over the long hill", "an entirely other text about rivers", "some third thing said at noon")
+
+
+def test_rows_not_ids_are_kept(spark):
+    """Both texts of an id are judged for themselves: the copy goes, the texts that nothing resembles stay."""
+    rows = [(3, A), (5, A), (5, B), (5, C), (5, C), (7, B.upper())]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(3, A), (5, B), (5, C)])
+
+
+def test_rows_without_an_id_can_take_part(spark):
+    rows = [(None, A), (3, A), (None, B), (None, B), (None, B.upper()), (None, C), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.keep_one(docs, nameless=True).collect()
+    assert [r.doc_id for r in got if r.text == A] == [3]
+    assert sorted((r.text or "").lower() for r in got if r.doc_id is None) == sorted(["", B, C])
+
+
+def test_the_pipeline_removes_copies_without_an_id(spark):
+    docs = spark.createDataFrame([(None, A), (None, A), (4, B), (None, B)], "doc_id long, text string")
+    got = corpus_pipeline.single_documents(spark, docs, "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, docs.where("doc_id = 4 or text like 'the red%'").distinct().collect()))
