@@ -40,7 +40,7 @@ AT_ONCE = 1 << 20
 
 
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(vec_id, vec): one row an id, without those that take no part."""
+    """(vec_id, vec): each vector of each id once, without those that take no part."""
     vec = F.col(vector).cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = (
@@ -52,7 +52,7 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     # one row a length: how many lengths occur, not how many rows
     common = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1)
     fitting = good.join(F.broadcast(common.select("dim")), "dim")
-    return fitting.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return fitting.select("vec_id", "vec").distinct()
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:

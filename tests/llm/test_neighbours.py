@@ -65,3 +65,12 @@ def test_odd_vectors(spark):
     assert nb.nearest(df, F.lit(False)).count() == 0
     alone = spark.createDataFrame([(100, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert nb.nearest(alone, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_each_vector_of_an_id_takes_part(spark):
+    """Candidates and queries with several vectors: every pair of rows with different ids is ranked."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 9.0]), (1, [1.0, 1.0]), (1, [0.0, 8.0]), (2, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nb.nearest(df, F.col("vec_id") == 0, 4).orderBy("rank").collect()
+    pairs = [(float(np.hypot(a[0] - b[0], a[1] - b[1])), j) for i, a in rows if i == 0 for j, b in rows if j != 0]
+    assert [(r.score, r.vec_id) for r in got] == [(pytest.approx(d), i) for d, i in sorted(pairs)[:4]]
