@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.llm import (
+    centroids,
     decontaminate,
     mixing,
     neighbours,
     quality,
     repeats,
+    runs,
     simhash,
     token_counts,
     token_files,
@@ -237,3 +241,109 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_tokens", "n_covered", "n_tiles", "coverage")
+
+
+def _op11_sql() -> str:
+    """Five rounds of k-means, one pair of views each."""
+    distance = """list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"""
+    near = """n{k} AS MATERIALIZED (
+      SELECT r, min(struct_pack(distance := {distance}, cluster := cluster)) AS near
+      FROM points, c{k} GROUP BY r)"""
+    step = """s{k} AS (
+      SELECT near.cluster AS cluster, i, sum(x)::BIGINT AS s, count(*) AS n
+      FROM n{k} JOIN (SELECT r, unnest(v) AS x, unnest(range(64)) AS i FROM points) USING (r) GROUP BY ALL),
+    m{k} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY cluster),
+    c{next} AS MATERIALIZED (SELECT c{k}.cluster, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (cluster))"""
+    views = []
+    for k in range(centroids.ROUNDS):
+        views += [near.format(k=k, distance=distance), step.format(k=k, next=k + 1)]
+    views.append(near.format(k=centroids.ROUNDS, distance=distance))
+    return f"""
+    WITH wide AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    points AS MATERIALIZED (
+      SELECT r, vec_id, list_transform(e, lambda x: floor(256 * x)::BIGINT) AS v FROM wide
+      WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (
+      SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1)::INT AS cluster, v AS c
+      FROM points QUALIFY cluster < 40),
+    {", ".join(views)},
+    sums AS (SELECT near.cluster AS cluster, sum(near.distance)::BIGINT AS inertia FROM n5 GROUP BY 1)
+    SELECT vec_id, near.cluster AS cluster, near.distance AS distance, s.inertia AS cluster_inertia,
+      (SELECT sum(inertia)::BIGINT FROM sums) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM n5 JOIN points USING (r) JOIN sums s ON s.cluster = near.cluster JOIN c5 ON c5.cluster = near.cluster"""
+
+
+@query("op11_centroids", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words that the contract's documents are made of: every tenth hash ends in a repeated stretch."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    order = np.arange(n)
+    order[a:] = a + (order[a:] - a) % p
+    return order
+
+
+@query(
+    "op13_periodic_runs",
+    r"""
+    WITH texts AS (
+      SELECT row_number() OVER () AS r, doc_id,
+        coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS own FROM documents),
+    hashed AS (
+      SELECT *, len(own) AS n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295::BIGINT, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+          lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) END AS h FROM texts),
+    planted AS (
+      SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a,
+        CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p FROM hashed),
+    docs AS (
+      SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+        lambda i: own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE own END AS words FROM planted),
+    places AS (SELECT r, n, unnest(words) AS word, unnest(range(n)) AS i FROM docs),
+    equal AS (
+      SELECT a.r, b.i - a.i AS q, a.i FROM places a JOIN places b
+      ON a.r = b.r AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 2),
+    stretches AS (
+      SELECT r, q, min(i) AS s, count(*) + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM equal)
+      GROUP BY r, q, k HAVING count(*) + q >= greatest(12, 2 * q)),
+    runs AS (SELECT r, s AS start, length, min(q) AS period FROM stretches GROUP BY r, s, length),
+    gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (
+      SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM places ANTI JOIN gone USING (r, i) GROUP BY r),
+    sums AS (
+      SELECT r, count(*) AS n_runs, arg_min(
+          struct_pack(start := start, length := length, period := period), struct_pack(l := -length, s := start, p := period)) AS top,
+        string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS t
+      FROM runs GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period,
+      1000 * top.length // top.period AS exponent_milli, sha256(coalesce(s.t, '')) AS runs_sha256,
+      sha256(coalesce(k.t, '')) AS collapsed_sha256
+    FROM docs LEFT JOIN sums s USING (r) LEFT JOIN kept k USING (r)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_order)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    top = F.struct(
+        (-best["col2"]).alias("start"), best["length"].alias("length"), (-best["col3"]).alias("period")
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.floor(F.lit(1000) * top["length"] / top["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
