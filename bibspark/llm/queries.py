@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bibspark.llm import (
     centroids,
     decontaminate,
+    line_labels,
     mixing,
     neighbours,
     quality,
@@ -278,6 +279,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
 
 
+@query("op12_line_field")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = line_labels.judge(docs, line_labels.fit(docs, table(spark, sf_dir, "labels")))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 def planted_order(doc_id: int | None, n: int) -> np.ndarray | None:
     """Places of the words that the contract's documents are made of: every tenth hash ends in a repeated stretch."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
