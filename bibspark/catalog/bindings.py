@@ -361,6 +361,12 @@ class Tables:
         coded = graph.encode_intent(features.edge_split(self.cites), "intent")
         return features.edge_features(coded, self.vectors)
 
+    @landed
+    def taught(self) -> DataFrame:
+        """Edges with products of their ends' vectors, split, intent code and key flag, for joint training."""
+        coded = graph.encode_intent(features.edge_split(self.cites), "intent")
+        return features.interactions(coded.withColumn("key_code", F.col("is_key").cast("int")), self.vectors)
+
     @cached_property
     def vectors(self) -> DataFrame:
         """A 64-d vector per part; the embeddings are dealt out in turn."""

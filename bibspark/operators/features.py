@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from bibspark.functions import text as tx
 from bibspark.operators.metrics import decay
+from bibspark.operators.training import DecayModel, predict
 from bibspark.session import land
 from bibspark.skew import find_hot, spread_join
 
@@ -105,6 +106,19 @@ def edge_features(edges: DataFrame, vectors: DataFrame, edge_vector: str | None
     return joined.withColumn("features", features).drop("citing_vector", "cited_vector")
 
 
+def interactions(edges: DataFrame, vectors: DataFrame, edge_vector: str | None = None) -> DataFrame:
+    """Adds `features`: the terms whose sum is the attention of an edge, citing times cited times edge vector.
+
+    Without an edge vector of its own an edge has the products of its ends. Edges with an
+    end that has no vector are left out.
+    """
+    joined = _with_end_vectors(edges, vectors)
+    terms = _times(_wide("citing_vector"), _wide("cited_vector"))
+    if edge_vector is not None:
+        terms = _times(terms, _wide(edge_vector))
+    return joined.withColumn("features", terms).drop("citing_vector", "cited_vector")
+
+
 def _wide(vector: str) -> Column:
     """Vectors travel through joins as they are stored, and are widened where they are used."""
     return F.col(vector).cast("array<double>")
@@ -235,6 +249,16 @@ def predict_edges(edges: DataFrame, intent_model, importance_model=None) -> Data
     )
 
 
+def predict_jointly(edges: DataFrame, intent: DecayModel, importance: DecayModel | None = None) -> DataFrame:
+    """`predict_edges` by models whose weights and decay were learned together."""
+    scored = predict(edges, intent).withColumnsRenamed({"code": "predicted_code"}).drop("probability")
+    if importance is not None:
+        scored = predict(scored, importance).withColumn("raw_importance", F.col("probability")[1]).drop("code", "probability")
+    names = F.array(*[F.lit(n) for n in INTENT_NAMES])
+    named = F.coalesce(F.get(names, F.col("predicted_code")), F.lit("Unknown"))
+    return scored.withColumn("predicted_intent", named).drop("features")
+
+
 def accuracy_mae(
     predictions: DataFrame, predicted: str, actual: str, importance: str, flag: str, by: str = "split"
 ) -> DataFrame:

@@ -6,13 +6,14 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark import schemas
-from bibspark.operators import clean, features, graph, metrics
-from bibspark.session import build_session, delete_landed
+from bibspark.operators import clean, features, graph, metrics, training
+from bibspark.session import build_session, delete_landed, stamp
 from bibspark.sources import tables
 
 DEFAULT_LAMBDA = 0.1
@@ -78,6 +79,22 @@ def predict_intents(
     return spark.read.parquet(f"{out}/edge_predictions")
 
 
+def learn_decay(spark: SparkSession, out: str, epochs: int) -> DataFrame:
+    """Learn intent weights and decay together from the landed edge features; lands and returns the training log.
+
+    Each epoch is kept below `out`, so that a training that was stopped goes on after the last
+    one. What was kept holds for the very files of features it was learned from.
+    """
+    own = hashlib.md5(stamp(spark, f"{out}/edge_features").encode()).hexdigest()
+    taught = spark.read.parquet(f"{out}/edge_features").where("train_mask")
+    _, log = training.fit(
+        taught, "intent_code", len(features.INTENT_NAMES), training.Settings(epochs=epochs),
+        state=f"{out}/training_state/{own}",
+    )
+    tables.export_csv(log, f"{out}/training_log")
+    return tables.read_csv(spark, f"{out}/training_log", schemas.TRAINING_LOG)
+
+
 def rank_authors(
     predictions: DataFrame, writes: DataFrame, out: str, lam: Column | float = DEFAULT_LAMBDA
 ) -> DataFrame:
@@ -105,12 +122,19 @@ def run(
     make_encoder=None,
     log: str | None = None,
     multi_line: bool = True,
+    epochs: int = 0,
 ) -> DataFrame:
-    """The whole chain. `log` is a training log (CSV); its last λ then weighs the edges, not `lam`."""
+    """The whole chain. `log` is a training log (CSV); its last λ then weighs the edges, not `lam`.
+
+    With `epochs` the log is learned here, from the edges with a known intent.
+    """
     papers, edges = prepare_graph(spark, *tables.scan_hops(spark, hops, multi_line), out)
     predictions = predict_intents(spark, papers, edges, out, make_encoder=make_encoder)
     writes = tables.read_csv(spark, authors, schemas.PAPER_AUTHORS).select("author_id", "paper_id")
-    if log is not None:
+    if epochs:
+        learned = learn_decay(spark, out, epochs)
+        lam = features.last_decay(learned).select("lambda").scalar()
+    elif log is not None:
         lam = features.last_decay(tables.read_csv(spark, log, schemas.TRAINING_LOG)).select("lambda").scalar()
     return rank_authors(predictions, writes, out, lam)
 
@@ -122,12 +146,14 @@ def main() -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--lam", type=float, default=DEFAULT_LAMBDA)
     ap.add_argument("--log", help="training log whose last decay is used instead of --lam")
+    ap.add_argument("--epochs", type=int, default=0, help="learn the decay in so many epochs")
     ap.add_argument("--split-files", action="store_true", help="no field holds a line break")
     args = ap.parse_args()
     spark = build_session("citation chain")
     metrics.leaderboard(
         run(
-            spark, args.hops, args.authors, args.out, args.lam, log=args.log, multi_line=not args.split_files
+            spark, args.hops, args.authors, args.out, args.lam, log=args.log,
+            multi_line=not args.split_files, epochs=args.epochs,
         ),
         "semantic_hp_frac",
         "author_id",
