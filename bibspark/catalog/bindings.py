@@ -19,6 +19,7 @@ from bibspark.catalog import payloads
 from bibspark.operators import clean, features, graph, metrics
 from bibspark.session import new_path, stamp
 from bibspark.skew import find_hot, spread_join
+from bibspark.sources import tables
 
 # The seed layer: parts of this type. Seeds of size 50 have no metadata row.
 SEED_TYPE = "ECONOMY"
@@ -29,15 +30,20 @@ LAMBDA = 0.1
 _LANDED: dict[tuple[str, str, str, str], tuple] = {}
 
 
-def landed(build):
-    """A view written once per session and input folder."""
+def landed(build=None, by: str | None = None):
+    """A view written once per session and input folder, in folders by the column `by` if there is one."""
+    if build is None:
+        return lambda fn: landed(fn, by)
 
     def read(self: Tables) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, self.files, build.__name__)
         if key not in _LANDED:
             df = build(self)
             path = new_path(self.spark, build.__name__)
-            df.write.parquet(path)
+            if by is None:
+                df.write.parquet(path)
+            else:
+                tables.write_partitioned(df, path, by)
             _LANDED[key] = (path, df.schema)
         path, schema = _LANDED[key]
         return self.spark.read.schema(schema).parquet(path)
@@ -184,6 +190,11 @@ class Tables:
             graph.delta_t_scaled(F.col("citing_year"), F.col("cited_year")).alias("delta_t"),
         )
 
+    @landed(by="bucket")
+    def adjacency(self) -> DataFrame:
+        """Who cites a paper, in folders by bucket."""
+        return graph.adjacency(self.cites)
+
     @cached_property
     def weighted(self) -> DataFrame:
         return metrics.weigh_edges(self.cites, LAMBDA)

@@ -15,7 +15,9 @@ def inverted_docs(t) -> DataFrame:
     words = F.transform(
         F.split("text", " ", -1), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))
     )
-    spots = t.documents.select(
+    # texts stay in as many files as they were read from, which may be one: deal them anew by size
+    docs = t.documents.select("doc_id", "text").hint("rebalance")
+    spots = docs.select(
         "doc_id", F.sort_array(F.filter(words, lambda x: x["word"] != "")).alias("spots")
     )
     n, word = F.size("spots"), lambda k: F.get("spots", k - 1)["word"]

@@ -323,7 +323,26 @@ reach(id, lvl) AS (
 SELECT id AS paper_id, min(lvl) AS level FROM reach GROUP BY id""",
 )
 def snowball(t):
-    return g.snowball(t.cites, seed_of(t))[0]
+    return g.snowball(t.cites, seed_of(t), blocks=t.adjacency)[0]
+
+
+@query(
+    "adjacency",
+    "cites",
+    """
+SELECT cited_id, count(*) AS citing, min(citing_id) AS first_id, max(citing_id) AS last_id,
+       sha256(string_agg(DISTINCT citing_id, ',' ORDER BY citing_id)) AS ids_sha256
+FROM cites GROUP BY cited_id""",
+)
+def adjacency(t):
+    """Each cited paper's list, put together again from its blocks."""
+    ids = F.array_sort(F.flatten(F.collect_list("citing_ids")))
+    return t.adjacency.groupBy("cited_id").agg(
+        F.sum(F.size("citing_ids")).alias("citing"),
+        F.min(F.col("citing_ids")[0]).alias("first_id"),
+        F.max(F.element_at("citing_ids", -1)).alias("last_id"),
+        F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"),
+    )
 
 
 @query(

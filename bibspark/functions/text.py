@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -134,6 +135,7 @@ def _code_point(number: Column) -> Column:
 # The references of ordinary text come first: a lookup goes through the names in order.
 _NAMES = dict.fromkeys(["amp;", "quot;", "lt;", "gt;", "nbsp;", "copy;", "middot;", "apos;"]) | html5
 _NAMES = {name: html5[name] for name in _NAMES}
+_NAMES_JSON = json.dumps(_NAMES)
 # Names that count without a semicolon, also when more letters follow; longest first.
 _OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
@@ -141,9 +143,8 @@ _OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-
 def decode_references(text: Column) -> Column:
     """Character references of HTML replaced by their characters."""
     part = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
-    names = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in _NAMES]), F.array(*[F.lit(c) for c in _NAMES.values()])
-    )
+    # one literal, read once while the query is planned, instead of one for each name
+    names = F.from_json(F.lit(_NAMES_JSON), "map<string,string>")
 
     def one(x: Column) -> Column:
         digits = F.regexp_replace(x, r"^&#[xX]?0*|;$", "")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from bibspark.operators import clean
-from bibspark.session import land
+from bibspark.session import land, new_path
 from bibspark.skew import find_hot, keep_first, spread_join
+from bibspark.sources import tables
 
 # Training code of each intent, anything else is unlabelled; the year and the context
 # that stand for missing ones.
@@ -15,8 +17,8 @@ INTENT_CODES = {"background": 0, "method": 1, "result": 2}
 UNLABELLED = -1
 MISSING_YEAR = 2020
 NO_CONTEXT = "No context provided"
-# Levels of a walk after which the tables of all levels are written as one.
-COMPACT_EVERY = 10
+# Folders of an adjacency, and citing ids of one of its blocks.
+BUCKETS, BLOCK = 64, 4096
 
 
 def unique_papers(edges: DataFrame) -> DataFrame:
@@ -383,39 +385,76 @@ def isolation_report(edges: DataFrame) -> DataFrame:
     ).withColumn("roots", cluster_roots(edges).agg(F.count(F.lit(1))).scalar())
 
 
+def _bucket(paper: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(paper), F.lit(buckets)).cast("int")
+
+
+def adjacency(edges: DataFrame, buckets: int = BUCKETS, block: int = BLOCK) -> DataFrame:
+    """(bucket, cited_id, citing_ids): who cites a paper, as sorted blocks of about `block` ids at most.
+
+    The ids of a paper with more citing papers are dealt over as many blocks as it needs by
+    their hash, so that no task gathers them.
+    """
+    pairs = edges.select("cited_id", "citing_id").na.drop()
+    counts = citation_counts(pairs)
+    large = counts.where(F.col("n") > block // 2).select("cited_id", "n", F.ceil(F.col("n") * 2 / block).alias("_parts"))
+    part = F.pmod(F.xxhash64("citing_id"), F.coalesce("_parts", F.lit(1)))
+    dealt = spread_join(pairs, large, "cited_id", "left", rows="n").select("cited_id", "citing_id", part.alias("_part"))
+    blocks = dealt.groupBy("cited_id", "_part").agg(F.sort_array(F.collect_set("citing_id")).alias("citing_ids"))
+    return blocks.select(_bucket("cited_id", buckets).alias("bucket"), "cited_id", "citing_ids")
+
+
+def touched_blocks(blocks: DataFrame, frontier: DataFrame, opened: list[int]) -> DataFrame:
+    """The blocks of the frontier's papers, from the folders `opened` alone, those of the papers' buckets."""
+    some = blocks.where(F.col("bucket").isin(opened))
+    return some.join(frontier.select(F.col("paper_id").alias("cited_id")), "cited_id", "left_semi")
+
+
+def land_level(papers: DataFrame, base: str, level: int, buckets: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Writes a level below `base`; returns it, all levels so far (paper_id, level), and the buckets of
+    its papers, seen as they were written: none for an empty level."""
+    seen = Observation()
+    only = papers.select("paper_id")
+    only.observe(seen, F.collect_set(_bucket("paper_id", buckets)).alias("b")).write.parquet(f"{base}/level={level}")
+    read = papers.sparkSession.read
+    schema = StructType([only.schema["paper_id"], StructField("level", IntegerType())])
+    return read.schema(only.schema).parquet(f"{base}/level={level}"), read.schema(schema).parquet(base), seen.get["b"]
+
+
 def snowball(
-    edges: DataFrame, seed: DataFrame, max_papers: int | None = None
+    edges: DataFrame,
+    seed: DataFrame,
+    max_papers: int | None = None,
+    blocks: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> tuple[DataFrame, DataFrame]:
     """Breadth-first over incoming citations from a one-row (paper_id) seed.
 
     Returns (paper_id, level) and (cited_id, citing_id, context) of the reached
-    papers. Each level is one semi join against the frontier, which Spark broadcasts
-    while it is small, so that the edges are then only scanned; hot keys are looked
-    for once. Levels are landed in the
-    shared folder: lineage stays one level deep, a lost executor costs no more
-    than the level at hand, and nothing but an emptiness check reaches the
+    papers. `blocks` is the `adjacency` of the edges as read from folders by bucket; without
+    it, it is written first. A level reads the folders that its frontier's papers fall in and
+    no other edge, so a walk costs what it reaches, not levels times the graph. Levels are
+    landed in the shared folder: lineage stays one level deep, a lost executor costs no more
+    than the level at hand, and only bucket numbers reach the
     driver. With `max_papers` the reached papers are the first by (level, id).
     """
+    if blocks is None:
+        path = new_path(edges.sparkSession, "adjacency")
+        tables.write_partitioned(adjacency(edges, buckets), path, "bucket", ["cited_id"])
+        blocks = edges.sparkSession.read.parquet(path)
     level = 0
-    frontier = land(seed.select("paper_id", F.lit(0).alias("level")), "snowball")
-    reached, total = frontier, 1
-    hot = find_hot(edges, "cited_id")
-    while not frontier.isEmpty() and (max_papers is None or total < max_papers):
+    base = new_path(edges.sparkSession, "snowball")
+    frontier, reached, opened = land_level(seed, base, level, buckets)
+    total = 1
+    while opened and (max_papers is None or total < max_papers):
         level += 1
-        cited = frontier.select(F.col("paper_id").alias("cited_id"))
         found = (
-            spread_join(
-                edges.select("cited_id", "citing_id"), cited, "cited_id", "left_semi", hot=hot
-            )
-            .select(F.col("citing_id").alias("paper_id"))
-            .na.drop()
+            touched_blocks(blocks, frontier, opened)
+            .select(F.explode("citing_ids").alias("paper_id"))
             .distinct()
             .join(reached, "paper_id", "left_anti")
         )
-        frontier = land(found.withColumn("level", F.lit(level)), "snowball")
-        reached = reached.unionByName(frontier)
-        if level % COMPACT_EVERY == 0:
-            reached = land(reached, "snowball")
+        frontier, reached, opened = land_level(found, base, level, buckets)
         if max_papers is not None:
             total = reached.count()
     if max_papers is not None:

@@ -73,6 +73,33 @@ def test_snowball_against_a_queue(spark, rows):
         p for _, p in sorted((v, k) for k, v in level.items())][:7]
 
 
+def test_adjacency_blocks(spark, tmp_path):
+    """Lists of every paper come back whole from blocks, one paper with many citing ones from several."""
+    pairs = citing_pairs(60) + [(f"m{i:04}", "hot") for i in range(900)] + [("m0001", "hot"), (None, "hot"), ("m0001", None)]
+    blocks = g.adjacency(edges_of(spark, pairs), buckets=8, block=100)
+    tables.write_partitioned(blocks, str(tmp_path / "a"), "bucket")
+    blocks = spark.read.parquet(str(tmp_path / "a"))
+    lists = {}
+    for r in blocks.collect():
+        assert r.citing_ids == sorted(r.citing_ids) and len(r.citing_ids) <= 100
+        lists[r.cited_id] = lists.get(r.cited_id, []) + r.citing_ids
+    assert len([1 for r in blocks.collect() if r.cited_id == "hot"]) > 9
+    want = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            want.setdefault(b, set()).add(a)
+    assert {k: sorted(v) for k, v in lists.items()} == {k: sorted(v) for k, v in want.items()}
+    # a level opens the folders of its frontier only
+    walk, two = str(tmp_path / "walk"), spark.createDataFrame([("hot",), ("n1",)], "paper_id string")
+    frontier, reached, opened = g.land_level(two, walk, 3, 8)
+    assert sorted(map(tuple, reached.collect())) == [("hot", 3), ("n1", 3)]
+    assert 0 < len(opened) <= 2
+    assert {r.cited_id for r in g.touched_blocks(blocks, frontier, opened).collect()} == {"hot", "n1"}
+    read = blocks.where(F.col("bucket").isin(opened)).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {int(r.f.split("bucket=")[1].split("/")[0]) for r in read} == set(opened)
+    assert g.land_level(frontier.limit(0), walk, 4, 8)[2] == []
+
+
 def test_roots_and_bridges(spark, rows):
     edges = edges_of(spark, [("a", "r1"), ("a", "r2"), ("b", "r1"), ("c", "a"), ("a", "r1")])
     assert rows(g.cluster_roots(edges)) == [("r1",), ("r2",)]
