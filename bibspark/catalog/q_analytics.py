@@ -8,6 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from bibspark.functions.text import STOPWORDS
 from bibspark.operators import analytics as a
 from bibspark.operators import clean
+from bibspark.session import new_path
+from bibspark.sources import feeds
+from bibspark.streaming import refresh
 
 AUTHOR = "A12"
 COLLABORATOR = "Supplier#000000007"
@@ -306,3 +309,37 @@ def inspect_rejects(t):
 )
 def sql_source_counts(t):
     return a.source_counts_sql(t.papers)
+
+
+# ---- indexes refreshed by a stream ----------------------------------------
+def refreshed(t, name):
+    """The index after three arrivals, each followed by a run; later ones bring earlier papers again."""
+    base = new_path(t.spark, "refresh")
+    landing, out, state = f"{base}/landing", f"{base}/index", f"{base}/state"
+    arrival = F.pmod(F.crc32(F.col("paper_id")), F.lit(3))
+    for k in range(3):
+        feeds.landing_append(t.papers.where(arrival <= k), landing)
+        refresh.refresh(t.spark, landing, out, state, compact_every=2)
+    return refresh.read_index(t.spark, out, name)
+
+
+@query("refreshed_author_stats", "papers", f"SELECT * FROM {STATS}")
+def refreshed_author_stats(t):
+    return refreshed(t, "author_stats")
+
+
+@query("refreshed_topics", "papers", f"SELECT * FROM {TOPICS}")
+def refreshed_topics(t):
+    return refreshed(t, "temporal_topics")
+
+
+@query(
+    "refreshed_collaborations",
+    "papers",
+    """
+, authorship AS (SELECT paper_id, unnest(authors) AS author FROM papers WHERE len(authors) > 1)
+SELECT x.author AS author1, y.author AS author2, count(*) AS weight
+FROM authorship x JOIN authorship y ON x.paper_id = y.paper_id AND x.author < y.author GROUP BY ALL""",
+)
+def refreshed_collaborations(t):
+    return refreshed(t, "collaborations")
