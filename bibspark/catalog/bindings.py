@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.catalog import payloads
-from bibspark.operators import clean, features, graph, metrics
+from bibspark.operators import clean, features, graph, metrics, search
 from bibspark.session import new_path, stamp
 from bibspark.skew import find_hot, spread_join
 from bibspark.sources import tables
@@ -96,6 +96,16 @@ class Tables:
         valid = clean.valid_papers(self.raw_docs)
         return clean.final_layout(clean.dedup_papers(clean.normalise(valid), ["doc_id"]))
 
+    @property
+    def search_index(self) -> str:
+        """Folder of the posting index over the papers' abstracts, built once per session."""
+        key = (self.spark.sparkContext.applicationId, self.dir, self.files, "search_index")
+        if key not in _LANDED:
+            path = new_path(self.spark, "search_index")
+            search.build(self.papers, path)
+            _LANDED[key] = (path,)
+        return _LANDED[key][0]
+
     @landed
     def inverted(self) -> DataFrame:
         return payloads.inverted_docs(self)

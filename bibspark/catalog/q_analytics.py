@@ -1,5 +1,8 @@
 """Author, topic and collaboration queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.catalog.registry import query
@@ -7,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 
 from bibspark.functions.text import STOPWORDS
 from bibspark.operators import analytics as a
-from bibspark.operators import clean
+from bibspark.operators import clean, search
 from bibspark.session import new_path
 from bibspark.sources import feeds
 from bibspark.streaming import refresh
@@ -221,6 +224,44 @@ def search_abstract(t):
     return a.search_abstract(t.papers, KEYWORD).select("paper_id", "title", "year", "source")
 
 
+# A word, a part of words, a rare string, one that no abstract has, and needles of two letters and one.
+NEEDLES = [KEYWORD.lower(), "tion ", "xplore", "zzzzzz", "é ", "ñ", "q"]
+
+
+@query(
+    "search_index",
+    "papers",
+    f"""
+SELECT needle, paper_id, title, year, source
+FROM papers, (SELECT unnest({NEEDLES}) AS needle) WHERE contains(abstract, needle)""",
+)
+def search_index(t):
+    """Papers found for each needle by the posting index."""
+    found = [search.search(t.spark, t.search_index, x).withColumn("needle", F.lit(x)) for x in NEEDLES]
+    return reduce(DataFrame.unionByName, found).select("needle", "paper_id", "title", "year", "source")
+
+
+@query(
+    "posting_lists",
+    "papers",
+    """
+, places AS (SELECT paper_id, abstract, unnest(range(greatest(length(abstract) - 2, 1))) AS i
+             FROM papers WHERE abstract <> '')
+SELECT gram, count(*) AS papers, min(paper_id) AS first_id, max(paper_id) AS last_id
+FROM (SELECT DISTINCT paper_id, substr(abstract, i + 1, 3) AS gram FROM places) GROUP BY gram""",
+)
+def posting_lists(t):
+    """Every gram's list read back: how many papers, the first and the last of them."""
+    path, spark = t.search_index, t.spark
+    places = search.places(spark.read.parquet(f"{path}/postings"))
+    size = spark.read.parquet(f"{path}/settings").select("block_papers").scalar()
+    papers = spark.read.parquet(f"{path}/papers").select("block", "number", "paper_id")
+    placed = papers.withColumn("place", (F.col("number") - F.col("block") * size).cast("int"))
+    return places.join(placed, ["block", "place"]).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("papers"), F.min("paper_id").alias("first_id"), F.max("paper_id").alias("last_id")
+    )
+
+
 @query("author_list", "papers", f"SELECT DISTINCT author FROM {STATS}")
 def author_list(t):
     return a.author_list(a.author_stats(t.papers))
