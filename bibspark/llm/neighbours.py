@@ -18,9 +18,11 @@ original vectors travel with their block and are only read for reranking.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, neither do those of another length than the most frequent one (of equally
-frequent ones the longest), nor rows without an id. Rows that share an id are one
-candidate, the smallest of their vectors. Ties in distance go to the smaller id. Where
+frequent ones the longest), nor rows without an id. Every row is a candidate and, if its id
+says so, a query of its own: rows that share an id, equal ones too, are each found, each find the
+others, and each have ranks of their own. Ties in distance go to the smaller id. Where
 there are fewer than k candidates, all are returned. No queries or an empty table: no rows.
+Further columns are ignored, whatever their names. There are no texts here, so none is empty or long.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ AT_ONCE = 1 << 20
 
 
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(vec_id, vec): each vector of each id once, without those that take no part."""
+    """(row, vec_id, vec): numbered rows, without those that take no part. Numbers hold once they are written."""
     vec = F.col(vector).cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = (
@@ -52,7 +54,7 @@ def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     # one row a length: how many lengths occur, not how many rows
     common = good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1)
     fitting = good.join(F.broadcast(common.select("dim")), "dim")
-    return fitting.select("vec_id", "vec").distinct()
+    return fitting.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -70,8 +72,8 @@ def code(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.
     return np.packbits(turned > 0, axis=1), norms, np.where(norms > 0, own, 1.0)
 
 
-def _search(queries: np.ndarray, query_ids, vectors: np.ndarray, ids, coded, centre, turn, k):
-    """For each query its k best of the block: query numbers, row numbers, distances."""
+def _search(queries: np.ndarray, query_rows, vectors: np.ndarray, rows, ids, coded, centre, turn, k):
+    """For each query its k best of the block, its own row left out: query places, row places, distances."""
     bits, norms, own = coded
     d = vectors.shape[1]
     signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
@@ -84,7 +86,7 @@ def _search(queries: np.ndarray, query_ids, vectors: np.ndarray, ids, coded, cen
         inner = ((shifted @ turn).astype(np.float32) @ signs.T) / np.sqrt(d) / own
         square = length[:, None] ** 2 + norms**2 - 2 * norms * inner
         error = 2 * norms * spread * length[:, None] + 1e-5 * (1 + square.max())
-        other = query_ids[low : low + some][:, None] != ids[None, :]
+        other = query_rows[low : low + some][:, None] != rows[None, :]
         upper = np.where(other, square + error, np.inf)
         last = min(k, len(ids)) - 1
         limit = np.partition(upper, last, axis=1)[:, last]
@@ -120,7 +122,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embed
                 for low in range(0, batch.num_rows, limit):
                     some = batch.slice(low, limit)
                     vectors, ids = matrix(some).astype("<f4" if single else "<f8"), some["vec_id"].to_numpy()
-                    columns = [ids.astype("<i8").tobytes(), vectors.tobytes()]
+                    rows = some["row"].to_numpy()
+                    columns = [rows.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), vectors.tobytes()]
                     if limit == BLOCK:
                         bits, norms, own = code(vectors.astype(float), centre, turn)
                         columns += [bits.tobytes(), norms.tobytes(), own.tobytes()]
@@ -129,15 +132,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embed
         return run
 
     single = found.schema["vec"].dataType.elementType.typeName() == "float"
-    names = ["ids", "vectors", "bits", "norms", "own"]
+    names = ["rows", "ids", "vectors", "bits", "norms", "own"]
     blocks = land(
         found.mapInArrow(pack(BLOCK), ", ".join(f"{n} binary" for n in names)).withColumn(
             "block", F.monotonically_increasing_id()
         ),
         "code-blocks",
     )
-    asked = found.where(is_query).mapInArrow(pack(QUERIES), "ids binary, vectors binary")
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    asked = found.where(is_query).mapInArrow(pack(QUERIES), "rows binary, ids binary, vectors binary")
+    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "vectors")])
     # every block of queries goes to every cell of vector blocks; cells, not rows, are listed
     cells = max(1, blocks.count())
     blocks = blocks.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int"))
@@ -149,20 +152,24 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, vector: str = "embed
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
                 vectors = np.frombuffer(row["vectors"], kind).reshape(len(ids), -1).astype(float)
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
+                q_rows, q_ids = (np.frombuffer(row[c], "<i8") for c in ("q_rows", "q_ids"))
                 queries = np.frombuffer(row["q_vectors"], kind).reshape(len(q_ids), -1).astype(float)
                 coded = (
                     np.frombuffer(row["bits"], np.uint8).reshape(len(ids), -1),
                     np.frombuffer(row["norms"]),
                     np.frombuffer(row["own"]),
                 )
-                for at, hit, distance in _search(queries, q_ids, vectors, ids, coded, centre, turn, k):
+                rows = np.frombuffer(row["rows"], "<i8")
+                for at, hit, distance in _search(queries, q_rows, vectors, rows, ids, coded, centre, turn, k):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_ids[at]), pa.array(ids[hit]), pa.array(distance)], ["query_id", "vec_id", "score"]
+                        [pa.array(q_rows[at]), pa.array(q_ids[at]), pa.array(ids[hit]), pa.array(distance)],
+                        ["query_row", "query_id", "vec_id", "score"],
                     )
 
-    best = met.select("q_ids", "q_vectors", *names).mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = met.select("q_rows", "q_ids", "q_vectors", *names).mapInArrow(
+        search, "query_row long, query_id long, vec_id long, score double"
+    )
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return (
         best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -221,17 +221,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op9_one_bit_codes",
     """
-    WITH rows AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    WITH rows AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     good AS (
-      SELECT vec_id, e FROM rows
+      SELECT r, vec_id, e FROM rows
       WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         AND len(list_filter(e, lambda x: x <> 0)) > 0),
     pairs AS (
-      SELECT q.vec_id AS query_id, r.vec_id,
+      SELECT q.r, q.vec_id AS query_id, r.vec_id,
         sqrt(list_sum(list_transform(list_zip(q.e, r.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
-      FROM good q JOIN good r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0),
+      FROM good q JOIN good r ON q.r <> r.r WHERE q.vec_id % 100 = 0),
     ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM pairs)
+      SELECT *, row_number() OVER (PARTITION BY r ORDER BY score, vec_id)::INT AS rank FROM pairs)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,18 +59,23 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, block int")
     got = nb.nearest(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [
-        (0, 1, 1), (0, 2, 3), (0, 3, 100), (0, 4, 2), (100, 1, 2), (100, 2, 0), (100, 3, 1), (100, 4, 3)]
-    assert got[2].score == np.sqrt(2.0)
+        (0, 1, 1), (0, 2, 3), (0, 3, 3), (0, 4, 100), (0, 5, 2), (100, 1, 2), (100, 2, 0), (100, 3, 1), (100, 4, 3), (100, 5, 3)]
+    assert got[3].score == np.sqrt(2.0)
     assert nb.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     assert nb.nearest(df, F.lit(False)).count() == 0
     alone = spark.createDataFrame([(100, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert nb.nearest(alone, F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_each_vector_of_an_id_takes_part(spark):
-    """Candidates and queries with several vectors: every pair of rows with different ids is ranked."""
-    rows = [(0, [1.0, 0.0]), (0, [0.0, 9.0]), (1, [1.0, 1.0]), (1, [0.0, 8.0]), (2, [1.0, 3.0])]
+def test_each_row_of_an_id_takes_part(spark):
+    """Repeated ids and rows, as candidates and as queries: each query row ranks all rows but itself."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 9.0]), (0, [0.0, 9.0]), (1, [1.0, 1.0]), (1, [0.0, 8.0]), (2, [1.0, 3.0]), (2, [1.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = nb.nearest(df, F.col("vec_id") == 0, 4).orderBy("rank").collect()
-    pairs = [(float(np.hypot(a[0] - b[0], a[1] - b[1])), j) for i, a in rows if i == 0 for j, b in rows if j != 0]
-    assert [(r.score, r.vec_id) for r in got] == [(pytest.approx(d), i) for d, i in sorted(pairs)[:4]]
+    for k in (3, 10):
+        got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in nb.nearest(df, F.col("vec_id") == 0, k).collect())
+        want = []
+        for i, (query, a) in enumerate(rows):
+            if query == 0:
+                near = sorted((float(np.hypot(a[0] - b[0], a[1] - b[1])), j) for n, (j, b) in enumerate(rows) if n != i)
+                want += [(query, rank, j, round(d, 9)) for rank, (d, j) in enumerate(near[:k], 1)]
+        assert got == sorted(want)
