@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from bibspark.catalog import payloads as pay
 from bibspark.catalog.registry import query
 from bibspark.functions import text as tx
-from bibspark.operators import clean
+from bibspark.operators import clean, titles
+from bibspark.session import land
 
 BLANKS = "' ' || chr(9) || chr(10)"
 
@@ -516,3 +517,45 @@ def present_search(t):
     return shown.groupBy(plain, "authors", "year", "source").agg(
         F.count(F.lit(1)).alias("papers")
     )
+
+
+# Catalogue records: some titles as they are, some with the type behind them, some without their first word.
+LEAST_SIMILARITY = 0.6
+
+
+@query(
+    "title_matches",
+    "",
+    f"""
+WITH w AS (
+  SELECT p_partkey AS k, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^\\pL\\pN]+'), lambda x: x <> '')) AS a,
+         list_distinct(list_filter(regexp_split_to_array(lower(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_type
+           ELSE substr(p_name, strpos(p_name, ' ') + 1) END), '[^\\pL\\pN]+'), lambda x: x <> '')) AS b
+  FROM part),
+scored AS (
+  SELECT x.k AS i, y.k AS j, len(list_intersect(x.a, y.b)) / (len(x.a) + len(y.b) - len(list_intersect(x.a, y.b))) AS s
+  FROM (SELECT DISTINCT x.k AS i, y.k AS j FROM (SELECT k, unnest(a) AS t FROM w) x JOIN (SELECT k, unnest(b) AS t FROM w) y USING (t)) p
+  JOIN w x ON x.k = p.i JOIN w y ON y.k = p.j)
+SELECT 'P' || i AS paper_id, count(*) AS records, round(max(s), 6) AS best,
+       'R' || arg_min(j, struct_pack(s := -s, j := 'R' || j)) AS record_id
+FROM scored WHERE s >= {LEAST_SIMILARITY} GROUP BY i""",
+)
+def title_matches(t):
+    """For each paper how many catalogue records have a similar title, and the best of them."""
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    other = (
+        F.when(F.col("p_partkey") % 3 == 0, name)
+        .when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", name, "p_type"))
+        .otherwise(F.substr(name, F.instr(name, " ") + 1))
+    )
+    matches = land(
+        titles.match_titles(
+            t.part.select(F.concat(F.lit("P"), key).alias("paper_id"), name.alias("title")),
+            t.part.select(F.concat(F.lit("R"), key).alias("record_id"), other.alias("title")),
+            LEAST_SIMILARITY,
+        ),
+        "title_matches",
+    )
+    counts = matches.groupBy("paper_id").agg(F.count(F.lit(1)).alias("records"))
+    best = titles.best_matches(matches).withColumn("best", F.round("similarity", 6)).drop("similarity")
+    return counts.join(best, "paper_id")

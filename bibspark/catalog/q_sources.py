@@ -1,9 +1,13 @@
 """Source and sink queries: each lands derived data, reads it back, and returns it."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspark import schemas
 from bibspark.catalog import payloads as pay
+from bibspark.catalog.q_analytics import TOPICS
 from bibspark.catalog.registry import query
 from bibspark.functions import text as tx
 from bibspark.operators import analytics, clean, metrics
@@ -162,13 +166,12 @@ def query_ledger(t):
     "first_existing",
     "raw_docs",
     """
-SELECT title, abstract, array_to_string(authors, '|') AS authors, year, source
-FROM raw_docs WHERE source = 's2orc'""",
+SELECT title, abstract, array_to_string(authors, '|') AS authors, year, 's2orc' AS source FROM raw_docs""",
 )
 def first_existing(t):
     """The sample stands in for a live feed that is not there."""
     live, sample = (new_path(t.spark, n) for n in ("live_feed", "sample_feed"))
-    tables.write_jsonl(s2_feed(t), sample)
+    tables.write_jsonl(as_s2(t.raw_docs), sample)
     return flat(feeds.scan_s2(t.spark, feeds.first_existing(t.spark, live, sample)))
 
 
@@ -186,20 +189,52 @@ def landing_append(t):
     return flat(feeds.scan_s2(t.spark, path))
 
 
+INDEX_DIGEST = "SELECT '{0}' AS name, count(*) AS rows, min({1}) AS first, max({1}) AS last, sum({2})::BIGINT AS total FROM {0}"
+
+
 @query(
     "load_indexes",
     "papers",
-    """
-SELECT 'papers' AS name, count(*) AS rows FROM papers
-UNION ALL SELECT 'author_stats', count(*) FROM
-  (SELECT DISTINCT year, unnest(authors) AS author FROM papers)""",
+    f"""
+, author_stats AS (SELECT author, year, count(*) AS n FROM (SELECT year, unnest(authors) AS author FROM papers) GROUP BY ALL),
+temporal_topics AS (SELECT * FROM {TOPICS}),
+listed AS (SELECT paper_id, unnest(authors) AS author FROM papers WHERE len(authors) > 1),
+collaborations AS (
+  SELECT x.author AS a, y.author AS b, count(*) AS n
+  FROM listed x JOIN listed y ON x.paper_id = y.paper_id AND x.author < y.author GROUP BY ALL),
+rejected_papers AS (
+  SELECT DISTINCT title, abstract, authors, year, source FROM raw_docs
+  WHERE NOT (abstract IS NOT NULL AND year IS NOT NULL AND len(authors) > 0))
+{" UNION ALL ".join(INDEX_DIGEST.format(*x) for x in [
+    ("papers", "paper_id", "year"), ("author_stats", "author || ' ' || year", "n"),
+    ("temporal_topics", "token || ' ' || year", "count"), ("collaborations", "a || ' ' || b", "n"),
+    ("rejected_papers", "coalesce(title, '') || ' ' || year", "len(authors)")])}""",
 )
 def load_indexes(t):
+    """A digest of every row of each of the five indexes as loaded."""
     base = new_path(t.spark, "index")
     tables.write_partitioned(t.papers, f"{base}/papers")
     tables.write_partitioned(analytics.author_stats(t.papers), f"{base}/author_stats", sort=["author"])
-    loaded = tables.load_indexes(t.spark, base, ["papers", "author_stats"])
-    return clean.stage_counts(**loaded).withColumnRenamed("stage", "name")
+    tables.write_partitioned(analytics.temporal_topics(t.papers), f"{base}/temporal_topics", sort=["token"])
+    listed = analytics.multi_author(t.papers).select("paper_id", F.explode("authors").alias("author"))
+    tables.write_plain(analytics.collaborations(listed), f"{base}/collaborations")
+    tables.write_plain(clean.rejected_papers(t.raw_papers), f"{base}/rejected_papers")
+    loaded = tables.load_indexes(t.spark, base)
+    text = {
+        "papers": (F.col("paper_id"), F.col("year")),
+        "author_stats": (F.concat_ws(" ", "author", "year"), F.col("paper_count")),
+        "temporal_topics": (F.concat_ws(" ", "token", "year"), F.col("count")),
+        "collaborations": (F.concat_ws(" ", "author1", "author2"), F.col("weight")),
+        "rejected_papers": (F.concat_ws(" ", F.coalesce("title", F.lit("")), "year"), F.size("authors")),
+    }
+    digests = [
+        loaded[name].agg(
+            F.count(F.lit(1)).alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"),
+            F.sum(amount).cast("bigint").alias("total"),
+        ).select(F.lit(name).alias("name"), "rows", "first", "last", "total")
+        for name, (key, amount) in text.items()
+    ]
+    return reduce(DataFrame.unionByName, digests)
 
 
 @query(
