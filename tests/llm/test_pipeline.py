@@ -67,5 +67,5 @@ def test_query_equals_its_sql(spark, name):
     assert comparable(df.columns, df.collect()) == comparable(columns, cur.fetchall())
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
