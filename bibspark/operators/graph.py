@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -412,13 +412,14 @@ def touched_blocks(blocks: DataFrame, frontier: DataFrame, opened: list[int]) ->
 
 def land_level(papers: DataFrame, base: str, level: int, buckets: int) -> tuple[DataFrame, DataFrame, list[int]]:
     """Writes a level below `base`; returns it, all levels so far (paper_id, level), and the buckets of
-    its papers, seen as they were written: none for an empty level."""
-    seen = Observation()
+    its papers, at most `buckets` numbers: none for an empty level."""
     only = papers.select("paper_id")
-    only.observe(seen, F.collect_set(_bucket("paper_id", buckets)).alias("b")).write.parquet(f"{base}/level={level}")
+    only.write.parquet(f"{base}/level={level}")
     read = papers.sparkSession.read
     schema = StructType([only.schema["paper_id"], StructField("level", IntegerType())])
-    return read.schema(only.schema).parquet(f"{base}/level={level}"), read.schema(schema).parquet(base), seen.get["b"]
+    landed = read.schema(only.schema).parquet(f"{base}/level={level}")
+    opened = landed.select(_bucket("paper_id", buckets).alias("b")).distinct().collect()
+    return landed, read.schema(schema).parquet(base), [r.b for r in opened]
 
 
 def snowball(
