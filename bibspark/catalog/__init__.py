@@ -6,6 +6,7 @@ from bibspark.catalog import (  # noqa: F401
     q_clean,
     q_features,
     q_graph,
+    q_identity,
     q_metrics,
     q_sources,
 )
