@@ -76,7 +76,9 @@ def spread_join(
             sizes = lookup.select(*keys, F.col(rows).alias("_n"))
         elif sizes is None:
             sizes = key_counts(facts, keys)
-        found = land(sizes.where(F.col("_n") > limit).select(*keys, _slots(limit)), "hot_keys")
+        found = sizes.where(F.col("_n") > limit).select(*keys, _slots(limit))
+        # counts in a landed lookup are read again at no cost; others are counted once
+        found = found if rows is not None else land(found, "hot_keys")
         hot_rows = None if found.isEmpty() else found
     if hot_rows is None:
         return facts.join(lookup, keys, how)
