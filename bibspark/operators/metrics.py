@@ -60,47 +60,49 @@ def paper_scores(papers: DataFrame, edges: DataFrame, weight: str = "semantic_we
     )
 
 
-def hirsch(
-    df: DataFrame, group: str, values: dict[str, str], count_as: str | None = None
-) -> DataFrame:
-    """Per group and value column, the largest i such that i values are at least i.
+def whole(value: Column) -> Column:
+    """The whole number that counts of a value: negative ones count as zero."""
+    return F.greatest(F.floor(F.round(value.cast("double"), DIGITS)), F.lit(0)).cast("bigint")
 
-    Ranks are whole numbers, so only floor(value) matters. Counting rows per
-    (group, floor) combines on the map side; what remains of a group is one row
-    per distinct whole value, whatever the size of the group. With N(v) values at
-    or above v, the index is the largest min(v, N(v)).
-    """
+
+def whole_counts(df: DataFrame, group: str, values: dict[str, str]) -> DataFrame:
+    """(group, m, v, n): how many rows of a group have the whole value v in the column named m."""
     floors = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("m"),
-                    F.greatest(F.floor(F.round(F.col(c).cast("double"), DIGITS)), F.lit(0))
-                    .cast("bigint")
-                    .alias("v"),
-                )
-                for name, c in values.items()
-            ]
-        )
+        F.array(*[F.struct(F.lit(name).alias("m"), whole(F.col(c)).alias("v")) for name, c in values.items()])
     )
-    counts = (
+    return (
         df.select(group, floors.alias("x"))
         .groupBy(group, F.col("x.m").alias("m"), F.col("x.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .repartition(group)
     )
+
+
+def hirsch_of_counts(counts: DataFrame, group: str, names: list[str], count_as: str | None = None) -> DataFrame:
+    """Per group and name, the largest i such that i values are at least i, from `whole_counts`."""
     above = Window.partitionBy(group, "m").orderBy(F.desc("v"))
-    ranked = counts.withColumn("at_least", F.sum("n").over(above))
-    first = next(iter(values))
+    ranked = counts.repartition(group).withColumn("at_least", F.sum("n").over(above))
     aggs = [
         F.max(F.when(F.col("m") == name, F.least("v", "at_least"))).cast("double").alias(name)
-        for name in values
+        for name in names
     ]
     if count_as:
-        aggs.append(F.sum(F.when(F.col("m") == first, F.col("n"))).alias(count_as))
+        aggs.append(F.sum(F.when(F.col("m") == names[0], F.col("n"))).alias(count_as))
     return ranked.groupBy(group).agg(*aggs)
 
 
+def hirsch(
+    df: DataFrame, group: str, values: dict[str, str], count_as: str | None = None
+) -> DataFrame:
+    """Per group and value column, the largest i such that i values are at least i.
+
+    Ranks are whole numbers, so only floor(value) matters. Counting rows per
+    (group, floor) combines on the map side; what remains of a group is one row
+    per distinct whole value, whatever the size of the group. With N(v) values at
+    or above v, the index is the largest min(v, N(v)).
+    """
+    return hirsch_of_counts(whole_counts(df, group, values), group, list(values), count_as)
+
+
 def paper_h_two_hop(edges: DataFrame, scores: DataFrame) -> DataFrame:
     """h_p and sh_p: Hirsch over raw counts and scores of the papers citing p."""
     citing = scores.select(F.col("paper_id").alias("citing_id"), "s_c", "raw")
