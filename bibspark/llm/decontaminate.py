@@ -16,7 +16,9 @@ Only shared places are shuffled, never texts. Seeds and token hashes are 64-bit.
 Defined results: null and empty texts and items share nothing. Repeated documents are
 judged each; repeated items too (a pair of ids gives one row, the highest coverage). Rows
 without doc_id are reported with a null one, items without item_id likewise. Empty
-tables: no rows. Only doc_id, text and item_id, text are read.
+tables: no rows. Very long texts are searched whole, a text at a time. Of equally long matches
+the one that begins first in the text is marked first. Only doc_id, text and item_id, text are
+read, so further columns may have any names; `drop_contaminated` hands them on.
 """
 
 from __future__ import annotations

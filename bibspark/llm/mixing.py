@@ -20,8 +20,10 @@ Documents of size 0 are taken as often as their rate says in words, that is 0. R
 source that share a doc_id are ranked each for itself: their u comes from the id, a hash of
 their text (and scale) and their number among the rows alike in these. Which of such rows
 has which number is open, as they are interchangeable. A missing doc_id is an empty id, shared
-or not like any other. A source of size 0 has target 0. An empty table gives no rows. Only
-doc_id, text and source (and the scaling column) are read.
+or not like any other. A source of size 0 has target 0. An empty table gives no rows. A very
+long text is a row like any other: it is taken whole or not at all, so a target smaller than
+such a text is met only to within its size. Only doc_id, text and source (and the scaling
+column) are read; `repeat` hands on all columns.
 """
 
 from __future__ import annotations

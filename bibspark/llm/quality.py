@@ -16,7 +16,8 @@ Defined results: a null text is scored as an empty one. A row without doc_id is
 scored but has held_out false. A doc_id with contradicting labels, or null ones,
 teaches nothing; one whose rows repeat teaches once. Without usable labels every
 score is 0.5, with labels of one kind only it is their smoothed share. Empty tables
-give no rows; further columns are ignored. Equal texts get equal scores.
+give no rows; further columns are ignored, whatever their names. Equal texts get equal
+scores. Very long texts are measured whole; of equally good cuts the first is taken.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ and link like any other; a text of one or two words has one shingle, all its wor
 Repeated rows each get a row. Rows without doc_id get a fingerprint and the component
 of the documents that link to it, null if there is none; they name no component and
 link nobody. Rows that share a doc_id are separate texts. An empty table gives no rows.
-Only doc_id and text are read.
+Very long texts are hashed whole, a text at a time. Only doc_id and text are read, so
+further columns do not matter, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,11 @@ of documents that cross blocks, over any number of blocks.
 
 Defined results: a null or empty text is a document of 0 tokens. Numbers behind the
 last end of a file, as a cut-off write leaves them, belong to no document. Empty
-files and empty tables have no documents. Files are told apart by path.
+files and empty tables have no documents. Files are told apart by path. Repeated rows are
+written and counted each. Very long texts cross as many blocks as they need. Only the text
+is read, so ids may be null and further columns may have any names. A file is read by one
+task and must stay below 2 GiB, the limit of Spark's binary files; `write` makes one a partition.
+The last of 65,536 ids has no number of its own (65,535 plus one is 0): `write` refuses it.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from bibspark.llm.tokens import encoder
 #: Numbers of a block.
 BLOCK = 1 << 20
 END = "\0\0"
+#: The id that has no number of its own.
+LAST = (1 << 16) - 1
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
@@ -34,6 +40,8 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
         coder = encoder(tokenizer)
         for piece in pieces(batches, "text"):
             flat, bounds = coder.encode(piece["text"])
+            if len(flat) and flat.max() == LAST:
+                raise ValueError("the last of 65,536 ids would read as an end")
             buffers = [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(flat + np.uint16(1))]
             yield pa.RecordBatch.from_arrays(
                 [pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers)], ["numbers"]

@@ -12,7 +12,8 @@ own rows; a reader adds up the files' totals (one row a file) to place them.
 
 Defined results: a null or empty text has only the end id. Rows without doc_id come
 first. Rows that share a doc_id stand side by side, ordered by their texts' hashes.
-An empty table gives files without rows. Other columns are ignored.
+An empty table gives files without rows. Repeated rows are written each. Very long texts are
+encoded whole and make one list each. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ Defined results: null and empty texts hold no feature and get the score of such
 label that is null is not learned from, for its category only; contradicting labels of
 a doc_id teach nothing, repeated rows teach once. A category without both kinds of labels
 gets their smoothed share, 0.5 without any. Rows without doc_id are scored, held_out
-false. Repeated rows are scored each. Empty tables give no rows. Other columns are ignored.
+false. Repeated rows are scored each. Very long texts are scored whole: a feature counts once,
+however often a text has it. Of equally telling features the alphabetically first become columns.
+Empty tables give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,8 +14,10 @@ Defined results: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and gets the default verdict, as does every URL that no rule fits. An
 empty path is not ``/``. Ports and user names are part of the host as written.
 Rules of equal length cannot both be longest on one URL unless they are the same
-rule; a repeated rule must not carry two verdicts. Repeated rows are judged each.
-No rules: the default verdict throughout.
+rule; a repeated rule must not carry two verdicts. Repeated rows are judged each, rows
+without page_id too. Very long URLs are read to their end, or until every bit of theirs is
+decided. No rules: the default verdict throughout. An empty table gives no rows. Only page_id
+and url are read, so further columns may have any names.
 """
 
 from __future__ import annotations

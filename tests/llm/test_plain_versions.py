@@ -113,3 +113,12 @@ def test_long_texts_cross_many_blocks(spark, odd):
     got = sorted(r.n_tokens for r in token_counts.count(blocks).collect())
     assert got == sorted(len(coder.whole(r.text)) // 2 if r.text else 0 for r in odd.collect())
     assert got[-1] > 10 * 4096
+
+
+def test_the_id_without_a_number_is_refused(spark, odd, monkeypatch):
+    few = odd.where("doc_id = 0")
+    ids, _ = PartEncoder(tokenizer_file()).encode(few.select("text").toArrow()["text"].combine_chunks())
+    # the vocabulary at hand has no id 65,535, so the largest that occurs stands for it
+    monkeypatch.setattr(token_counts, "LAST", int(ids.max()))
+    with pytest.raises(Exception, match="would read as an end"):
+        token_counts.write(few, new_path(spark, "flat"), tokenizer_file())
