@@ -4,6 +4,15 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 result is written as Parquet and read again as the next one's docs, so a lost executor
 costs at most the stage at hand. All stages but the last return the columns of documents.
 The mix repeats documents, so doc_ids may recur in the token files.
+
+Defined results: a null text counts as an empty one; empty texts are scored, grouped and
+mixed like any other, and as they have no words the mix takes none of them. Rows without doc_id go through
+all stages: they are grouped by their texts with all others, and stand first in the token files.
+Repeated rows, equal or not, are judged each by the classifier; of rows with linked
+fingerprints one stays. Very long texts are worked on whole at every stage. Ties: of a group the row with the
+smallest doc_id stays, of equal ones the one with the smaller text hash. Empty documents give no rows;
+without labels every score is 0.5 and all documents stay; without benchmark items none is
+contaminated. Further columns are handed on until the last stage, whatever their names.
 """
 
 from __future__ import annotations
