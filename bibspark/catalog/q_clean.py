@@ -548,14 +548,16 @@ def title_matches(t):
         .when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", name, "p_type"))
         .otherwise(F.substr(name, F.instr(name, " ") + 1))
     )
-    matches = land(
-        titles.match_titles(
-            t.part.select(F.concat(F.lit("P"), key).alias("paper_id"), name.alias("title")),
-            t.part.select(F.concat(F.lit("R"), key).alias("record_id"), other.alias("title")),
-            LEAST_SIMILARITY,
-        ),
-        "title_matches",
+    papers = titles.title_members(t.part.select(F.concat(F.lit("P"), key).alias("paper_id"), name.alias("title")), "paper_id")
+    records = titles.title_members(t.part.select(F.concat(F.lit("R"), key).alias("record_id"), other.alias("title")), "record_id")
+    left, right = (land(titles.title_classes(x, k), "title_classes") for x, k in ((papers, "paper_id"), (records, "record_id")))
+    pairs = titles.match_titles(
+        left.select(F.col("class").alias("paper_id"), F.col("class").alias("title")),
+        right.select(F.col("class").alias("record_id"), F.col("class").alias("title")),
+        LEAST_SIMILARITY,
     )
-    counts = matches.groupBy("paper_id").agg(F.count(F.lit(1)).alias("records"))
+    # equal titles are matched once: no pair of two copies is made
+    matches = titles.class_matches(pairs, papers, left, right)
+    counts = matches.groupBy("paper_id").agg(F.sum("records").alias("records"))
     best = titles.best_matches(matches).withColumn("best", F.round("similarity", 6)).drop("similarity")
     return counts.join(best, "paper_id")

@@ -7,7 +7,9 @@ words first, those prefixes hold rare words, so the join meets few pairs that fa
 none that passes is missed. Equal sets are joined once, for all titles that have them; a word
 that is in very many prefixes all the same is dealt over tasks (`spread_join`).
 
-Titles without a word match nothing.
+Titles without a word match nothing. Where many titles have the same words, the pairs of all rows grow
+with the square of their copies: `title_classes` gives one row a word set, `match_titles` joins those,
+and `class_matches` carries counts and smallest ids over to the rows, without a pair for each two copies.
 """
 
 from __future__ import annotations
@@ -75,6 +77,32 @@ def match_titles(papers: DataFrame, records: DataFrame, least: float) -> DataFra
     return spread_join(with_left, right.withColumnRenamed("words", "b"), "b").select("paper_id", "record_id", "similarity")
 
 
+def title_members(rows: DataFrame, key: str) -> DataFrame:
+    """(key, class): every row with the words of its title, sorted, as the name of its class; none without a word."""
+    return _sets(rows, key).select(key, F.array_join("words", " ").alias("class"))
+
+
+def title_classes(members: DataFrame, key: str) -> DataFrame:
+    """(class, rows, least) of `title_members`: how many rows a class has, and the smallest key, a null one first."""
+    return members.groupBy("class").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(key)).alias("x")).select(
+        "class", "rows", F.col(f"x.{key}").alias("least")
+    )
+
+
+def class_matches(pairs: DataFrame, members: DataFrame, classes: DataFrame, records: DataFrame) -> DataFrame:
+    """(paper_id, records, record_id, similarity), one row for each row of `members` (paper_id, class) that matches.
+
+    `pairs` are `match_titles` between classes; `classes` and `records` are the `title_classes`
+    of papers and records. `records` counts record rows, `record_id` is the best of them.
+    """
+    named = records.select(F.col("class").alias("record_id"), F.col("rows").alias("n"), "least")
+    each = spread_join(pairs, named, "record_id").select("paper_id", "n", F.col("least").alias("record_id"), "similarity")
+    each = land(each, "class_pairs")
+    best = each.groupBy("paper_id").agg(F.sum("n").alias("records")).join(best_matches(each), "paper_id")
+    found = best.withColumnRenamed("paper_id", "class").join(classes.select("class", "rows"), "class")
+    return spread_join(members, found, "class", rows="rows").select("paper_id", "records", "record_id", "similarity")
+
+
 def best_matches(matches: DataFrame) -> DataFrame:
     """One record per paper: the most similar, of equally similar ones the smallest id."""
     best = matches.groupBy("paper_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "record_id")).alias("x"))

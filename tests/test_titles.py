@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from bibspark.operators import titles as ti
 
@@ -52,3 +53,24 @@ def test_hits_are_checked(spark):
     assert [r.id for r in ti.accept_hits(hits, "title", "found", 0.5).collect()] == ["p"]
     with pytest.raises(ValueError):
         ti.match_titles(hits, hits, 0)
+
+
+def test_copies_make_no_pairs_of_rows(spark):
+    """2,000 papers and 3,000 records of one title and of a near one: 6 million pairs of rows, four class pairs."""
+    n = F.col("id")
+    title = F.when(n % 2 == 0, "Deep  graph nets").when(n % 1000 == 1, "deep graph").otherwise("Nets: graph, deep")
+    papers = spark.range(2000).select(F.concat(F.lit("p"), n.cast("string")).alias("paper_id"), title.alias("title"))
+    records = spark.range(3000).select(F.concat(F.lit("r"), n.cast("string")).alias("record_id"), title.alias("title"))
+    odd = spark.createDataFrame([("p0", "graph deep"), ("p9x", "sea"), ("p9y", None), (None, "deep graph")], "paper_id string, title string")
+    left, right = ti.title_members(papers.unionByName(odd), "paper_id"), ti.title_members(records, "record_id")
+    a, b = ti.title_classes(left, "paper_id"), ti.title_classes(right, "record_id")
+    pairs = ti.match_titles(
+        a.select(F.col("class").alias("paper_id"), F.col("class").alias("title")),
+        b.select(F.col("class").alias("record_id"), F.col("class").alias("title")),
+        0.6,
+    )
+    assert pairs.count() == 4
+    got = {(r.paper_id, r.records, r.record_id, round(r.similarity, 6)) for r in ti.class_matches(pairs, left, a, b).collect()}
+    every = {r.paper_id: r.title for r in papers.collect()}
+    want = {(p, 3000, "r1" if t == "deep graph" else "r0", 1.0) for p, t in every.items()}
+    assert got == want | {("p0", 3000, "r1", 1.0), (None, 3000, "r1", 1.0)}
