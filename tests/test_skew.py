@@ -103,3 +103,20 @@ def test_keep_first_ignores_row_order(spark, rows):
 def test_hot_keys_are_reduced_before_the_shuffle(spark):
     plan = keep_first(spark.range(10).selectExpr("id % 2 k", "id v"), ["k"])._jdf.queryExecution().toString()
     assert "partial_min" in plan
+
+
+def test_keys_are_counted_only_in_crowded_cells(spark, tiny_tasks):
+    """No key is counted, and none landed, where no cell of hashes has more rows than a task may join."""
+    from bibspark import skew
+
+    few = spark.range(3).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    counted, plain = [], skew.key_counts
+    skew.key_counts = lambda df, keys: counted.append(df.count()) or plain(df, keys)
+    try:
+        assert skew._hot_counts(few, ["k"], 3) is None and find_hot(few, "k", "v") == {"k": None, "v": None}
+        assert counted == []
+        hot = {r.k: r._n for r in skew._hot_counts(facts_of(spark), ["k"], 5).collect()}
+    finally:
+        skew.key_counts = plain
+    want = {r.k: r["count"] for r in facts_of(spark).groupBy("k").count().where("count > 5").collect()}
+    assert hot == want and counted[0] < 100
