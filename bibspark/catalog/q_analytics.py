@@ -255,11 +255,15 @@ def posting_lists(t):
     path, spark = t.search_index, t.spark
     places = search.places(spark.read.parquet(f"{path}/postings"))
     size = spark.read.parquet(f"{path}/settings").select("block_papers").scalar()
-    papers = spark.read.parquet(f"{path}/papers").select("block", "number", "paper_id")
-    placed = papers.withColumn("place", (F.col("number") - F.col("block") * size).cast("int"))
-    return places.join(placed, ["block", "place"]).groupBy("gram").agg(
-        F.count(F.lit(1)).alias("papers"), F.min("paper_id").alias("first_id"), F.max("paper_id").alias("last_id")
+    number = F.col("block") * size + F.col("place")
+    # papers are numbered in the order of their ids: the ids of the first and last are looked up for each gram alone
+    lists = places.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("papers"), F.min(number).alias("first"), F.max(number).alias("last")
     )
+    papers = spark.read.parquet(f"{path}/papers").select("number", "paper_id")
+    for end in ("first", "last"):
+        lists = lists.join(papers.select(F.col("number").alias(end), F.col("paper_id").alias(f"{end}_id")), end)
+    return lists.select("gram", "papers", "first_id", "last_id")
 
 
 @query("author_list", "papers", f"SELECT DISTINCT author FROM {STATS}")

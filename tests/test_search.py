@@ -71,3 +71,21 @@ def test_many_blocks_are_joined(spark, index, monkeypatch):
     papers, path = index
     monkeypatch.setattr(s, "MOST_NAMED", 2)
     assert s.search(spark, path, "quantum").count() == a.search_abstract(papers, "quantum").count()
+
+
+def test_lists_are_read_without_joining_every_place(spark, index):
+    """Counts, first and last ids against the texts; papers are looked up by gram, not by place."""
+    from types import SimpleNamespace
+
+    from bibspark.catalog import q_analytics
+
+    papers, path = index
+    held = {}
+    for r in papers.where("abstract <> ''").collect():
+        for i in range(max(len(r.abstract) - 2, 1)):
+            held.setdefault(r.abstract[i : i + 3], set()).add(r.paper_id)
+    found = q_analytics.posting_lists(SimpleNamespace(spark=spark, search_index=path))
+    want = {(g, len(x), min(x), max(x)) for g, x in held.items()}
+    assert {tuple(r) for r in found.select("gram", "papers", "first_id", "last_id").collect()} == want
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not any("place#" in x for x in joins)
