@@ -21,14 +21,25 @@ from bibspark.skew import spread_join
 
 def name_key(name: Column) -> Column:
     """The words of a name, lower-cased and sorted; null where it has none."""
-    words = F.filter(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    return F.when(F.size(words) > 0, F.array_join(F.sort_array(words), " "))
+    words = F.array_remove(F.split(F.lower(name), r"[^\p{L}\p{N}]+"), "")
+    return F.nullif(F.array_join(F.sort_array(words), " "), F.lit(""))
+
+
+def has_key(name: Column) -> Column:
+    """Whether a name has a key, told by its first letter or digit: no words are split for it."""
+    return F.lower(name).rlike(r"[\p{L}\p{N}]")
+
+
+def author_blocks(rows: DataFrame) -> DataFrame:
+    """Distinct (paper_id, author_id, name), the name as its key; rows without one of them are dropped."""
+    # a test of the key itself would be pushed below the distinct, and the key made again for it
+    named = rows.na.drop(subset=["paper_id", "author_id"]).where(has_key(F.col("author_name")))
+    return named.select("paper_id", "author_id", name_key(F.col("author_name")).alias("name")).distinct()
 
 
 def shared_paper_links(rows: DataFrame) -> DataFrame:
     """(a, b) from (paper_id, author_id, author_name): an id and the smallest of its block."""
-    keyed = rows.select("paper_id", "author_id", name_key(F.col("author_name")).alias("name"))
-    keyed = land(keyed.na.drop().distinct(), "author_blocks")
+    keyed = land(author_blocks(rows), "author_blocks")
     block = ["paper_id", "name"]
     least = keyed.groupBy(*block).agg(F.min("author_id").alias("b"), F.count(F.lit(1)).alias("n"))
     linked = spread_join(keyed, least.where("n > 1"), block, rows="n")

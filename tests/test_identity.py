@@ -104,3 +104,14 @@ def test_empty_and_unknown(spark):
 def test_word_order_case_and_punctuation(spark):
     names = spark.createDataFrame([("Ada B. Lovelace",), ("LOVELACE, Ada b",), ("b-ada lovelace",)], "n string")
     assert names.select(idn.name_key(names.n)).distinct().count() == 1
+
+
+def test_a_name_key_is_made_once_a_row(spark):
+    names = ["Lee, Ann", "ann  LEE", "", " - ", None, "\u0130x 9", "\u00bd", "_"]
+    rows = spark.createDataFrame([("p", f"a{i}", n) for i, n in enumerate(names)], "paper_id string, author_id string, author_name string")
+    rows = rows.union(rows).union(spark.createDataFrame([(None, "b", "Lee"), ("p", None, "Lee")], rows.schema))
+    blocks = idn.author_blocks(rows)
+    got = {(r.author_id, r.name) for r in blocks.collect()}
+    assert got == {("a0", "ann lee"), ("a1", "ann lee"), ("a5", "9 i x"), ("a6", "\u00bd")} and blocks.count() == 4
+    plan = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "split(" in x]
