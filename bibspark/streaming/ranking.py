@@ -78,14 +78,17 @@ class _Step:
         return _latest(self.before(table, keys).join(keys.select(key), key, "left_semi"), table)
 
     def add_counts(self, table: str, changes: DataFrame) -> DataFrame:
-        """Writes changes of counts; returns all counts of the keys that have some."""
+        """Writes changes of counts; returns all counts of the keys that have some, partitioned by key."""
         key, _ = STATE[table]
         same = changes.groupBy(key, "m", "v").agg(F.sum("n").alias("n")).where("n <> 0")
-        new = land(same, table)
-        _write(new, self.out, table, self.batch, self.buckets)
+        _write(same, self.out, table, self.batch, self.buckets)
+        # what is written is read back: the state holds it, no second copy is needed
+        new = _read(self.spark, self.out, table).where(F.col("batch") == self.batch).select(key, "m", "v", "n")
         keys = new.select(key).distinct()
         old = self.before(table, keys).join(keys, key, "left_semi").select(key, "m", "v", "n")
-        return old.unionByName(new).groupBy(key, "m", "v").agg(F.sum("n").alias("n")).where("n > 0")
+        # one exchange by key serves the sums here and the indexes made of them
+        every = old.unionByName(new).repartition(key)
+        return every.groupBy(key, "m", "v").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def _latest(rows: DataFrame, table: str) -> DataFrame:
@@ -101,8 +104,12 @@ def _changes(rows: DataFrame, key: str, values: dict[str, tuple[Column | None, C
     for name, (old, new) in values.items():
         now = metrics.whole(new)
         moves = [(now, 1)] if old is None else [(metrics.whole(old), -1), (now, 1)]
-        parts += [F.struct(F.lit(name).alias("m"), v.alias("v"), F.lit(n).cast("bigint").alias("n")) for v, n in moves]
-    return rows.select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.m", "x.v", "x.n")
+        for v, n in moves:
+            part = F.struct(F.lit(name).alias("m"), v.alias("v"), F.lit(n).cast("bigint").alias("n"))
+            # a value that stays the same whole number would be taken away and added again
+            parts.append(part if old is None else F.when(~metrics.whole(old).eqNullSafe(now), part))
+    moved = rows.select(key, F.explode(F.array(*parts)).alias("x")).where("x is not null")
+    return moved.select(key, "x.m", "x.v", "x.n")
 
 
 def start(writes: DataFrame, out: str, buckets: int = BUCKETS) -> None:
@@ -166,7 +173,7 @@ def add_citations(edges: DataFrame, out: str, batch: int, buckets: int = BUCKETS
     counts = step.add_counts("paper_counts", moved.unionByName(added))
 
     # indexes that have changed
-    now = land(metrics.hirsch_of_counts(counts, "paper_id", ["h_p", "sh_p"]), "indexes")
+    now = land(metrics.hirsch_of_counts(counts, "paper_id", ["h_p", "sh_p"], placed=True), "indexes")
     was = step.latest("indexes", now).withColumnsRenamed({"h_p": "old_h", "sh_p": "old_sh"})
     zero = F.lit(0.0)
     both = now.join(was, "paper_id", "left").select(
@@ -187,7 +194,7 @@ def add_citations(edges: DataFrame, out: str, batch: int, buckets: int = BUCKETS
             {NORMAL: (F.col("old_h") / a, F.col("h_p") / a), SEMANTIC: (F.col("old_sh") / a, F.col("sh_p") / a)},
         ),
     )
-    ranks = metrics.hirsch_of_counts(counts, "author_id", [NORMAL, SEMANTIC], count_as="total_papers")
+    ranks = metrics.hirsch_of_counts(counts, "author_id", [NORMAL, SEMANTIC], count_as="total_papers", placed=True)
     _write(ranks, out, "ranks", batch, buckets)
 
 

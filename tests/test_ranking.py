@@ -106,3 +106,24 @@ def test_stream_with_restart(spark, tmp_path):
     assert result(rk.ranking(spark, out)) == result(metrics.hp_frac(edges_of(spark, edges), writes_df))
     with pytest.raises(ValueError):
         rk.add_citations(edges_of(spark, edges), out, 0)
+
+
+def test_values_that_stay_make_no_rows_and_counts_move_once(spark, tmp_path):
+    schema = "paper_id string, old_raw bigint, raw bigint, old_s double, s_c double"
+    rows = spark.createDataFrame([("p", 1, 2, 1.2, 1.9), ("p", 2, 2, 0.5, 2.0), ("q", None, 0, 0.0, 0.4)], schema)
+    both = {"h": ("old_raw", "raw"), "s": ("old_s", "s_c")}
+    got = rk._changes(rows, "paper_id", {m: (rows[a], rows[b]) for m, (a, b) in both.items()})
+    want = [("p", "h", 1, -1), ("p", "h", 2, 1), ("p", "s", 0, -1), ("p", "s", 2, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = f"{tmp_path}/state"
+        rk.start(spark.createDataFrame([("a", "p")], "author_id string, paper_id string"), out, buckets=2)
+        counts = rk._Step(spark, out, 1, 2).add_counts("paper_counts", got)
+        assert sorted(tuple(r) for r in counts.collect()) == [("p", "h", 2, 1), ("p", "s", 2, 1)]
+        index = metrics.hirsch_of_counts(counts, "paper_id", ["h", "s"], placed=True)
+        assert [tuple(r) for r in index.collect()] == [("p", 1.0, 1.0)]
+        plan = index._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+        assert plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
