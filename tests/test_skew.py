@@ -120,3 +120,24 @@ def test_keys_are_counted_only_in_crowded_cells(spark, tiny_tasks):
         skew.key_counts = plain
     want = {r.k: r["count"] for r in facts_of(spark).groupBy("k").count().where("count > 5").collect()}
     assert hot == want and counted[0] < 100
+
+
+def test_the_largest_part_of_an_order_comes_with_one_exchange(spark):
+    from bibspark.catalog.bindings import with_lead
+
+    data = [(1, 5), (1, 9), (1, 9), (1, None), (2, None), (2, None), (None, 7), (None, 8), (3, 4)]
+    data += [(4, i) for i in range(60)]
+    want = []
+    for order, part in data:
+        if order is not None:
+            want.append((order, part, max((p for o, p in data if o == order and p is not None), default=None)))
+    lines = spark.createDataFrame(data, "l_orderkey bigint, l_partkey bigint").repartition(3)
+    led = with_lead(lines)
+    assert sorted(map(tuple, led.select("l_orderkey", "l_partkey", "lead").collect()), key=repr) == sorted(want, key=repr)
+    assert led._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(l_orderkey") == 1
+    spark.conf.set("bibspark.rowsPerTask", "20")
+    try:
+        dealt = with_lead(lines).select("l_orderkey", "l_partkey", "lead").collect()
+    finally:
+        spark.conf.unset("bibspark.rowsPerTask")
+    assert sorted(map(tuple, dealt), key=repr) == sorted(want, key=repr)
