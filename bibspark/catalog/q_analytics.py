@@ -79,8 +79,8 @@ def tokenize(t):
     f"SELECT paper_id, token, count(*) AS n FROM {WORDS} GROUP BY ALL",
 )
 def filter_tokens(t):
-    kept = a.filter_tokens(a.tokenize(t.papers))
-    return kept.groupBy("paper_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    """Papers are one row per id, so the counts of a row are those of its paper."""
+    return a.filter_tokens(a.tokenize(t.papers, counted=True)).select("paper_id", "token", "n")
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.functions import text as tx
@@ -54,9 +54,37 @@ def authors_with_n(stats: DataFrame, n: int = 1) -> DataFrame:
     return stats.where(F.col("paper_count") == n)
 
 
-def tokenize(papers: DataFrame) -> DataFrame:
-    """One row per token of the lower-cased abstract, split at single spaces."""
-    return papers.select("paper_id", "year", F.explode(tx.tokens(F.col("abstract"))).alias("token"))
+def _counted(rows: DataFrame, words: Column) -> DataFrame:
+    """`rows` with `terms`, the different words of a row, sorted, as (token, n).
+
+    Counted inside the row: equal words lie side by side once sorted. Every step is a column
+    of its own, as a lambda would work out an expression anew for each element.
+    """
+    rows = rows.withColumn("_words", F.sort_array(words))
+    w, e = F.col("_words"), F.col("_ends")
+    # places, from 1, at which a run of equal words ends
+    places = F.transform(w, lambda x, i: i + 1)
+    rows = rows.withColumn("_ends", F.filter(places, lambda i: ~F.get(w, i).eqNullSafe(F.get(w, i - 1))))
+
+    def term(end: Column, i: Column) -> Column:
+        n = (end - F.coalesce(F.get(e, i - 1), F.lit(0))).cast("long")
+        return F.struct(F.get(w, end - 1).alias("token"), n.alias("n"))
+
+    return rows.withColumn("terms", F.transform(e, term)).drop("_words", "_ends")
+
+
+def tokenize(papers: DataFrame, counted: bool = False) -> DataFrame:
+    """One row per token of the lower-cased abstract, split at single spaces.
+
+    `counted` gives one row per different token of a row of papers, with its count `n`,
+    for which nothing is gathered or shuffled.
+    """
+    tokens = tx.tokens(F.col("abstract"))
+    if not counted:
+        return papers.select("paper_id", "year", F.explode(tokens).alias("token"))
+    terms = _counted(papers.select("paper_id", "year", "abstract"), tokens)
+    # the outer form: for the plain one Spark would count words once more, to filter on their number
+    return terms.select("paper_id", "year", F.inline_outer("terms")).where(F.col("token").isNotNull())
 
 
 def filter_tokens(tokens: DataFrame, stopwords: list[str] = tx.STOPWORDS) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import json
 from collections import Counter
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from bibspark.catalog import q_analytics
 from bibspark.operators import analytics, clean
 from bibspark.plans import explore, index_build
 from bibspark.sources import feeds, tables
@@ -168,6 +170,26 @@ def test_tfidf_matches_the_hashed_form(spark):
         assert hashed[p] == pytest.approx(sorted(v for (q, _), v in exact.items() if q == p))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_inside_the_row(spark):
+    """No exchange and no aggregate of words, so a task's memory does not grow with its papers."""
+    papers = spark.createDataFrame(
+        [("1", "alpha beta  alpha\nbeta of alpha", 2000), ("2", "", 2000), ("3", None, 2001),
+         (None, "of beta beta", None), ("5", "Alpha alpha", 2001)],
+        "paper_id string, abstract string, year int")
+    counted = analytics.tokenize(papers, counted=True)
+    plain = analytics.tokenize(papers).groupBy("paper_id", "year", "token").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, counted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert counted.schema["n"].dataType == plain.schema["n"].dataType
+    found = q_analytics.filter_tokens(SimpleNamespace(papers=papers))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [("1", "alpha", 2), ("1", "alpha\nbeta", 1), ("1", "beta", 1), (None, "beta", 2), ("5", "alpha", 2)], key=repr)
+    assert "Exchange" not in _plan(found) and "Aggregate" not in _plan(found)
+
+
 ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">
 <entry><id>u1</id><title>Two
 lines &amp; more</title><summary>Some
