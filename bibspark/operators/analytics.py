@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.functions import text as tx
 from bibspark.session import land
-from bibspark.skew import spread_join
+from bibspark.skew import key_counts, rows_per_task, spread_join
 
 HASH_BUCKETS = 5000
 
 # Papers of more distinct authors are paired in blocks of this size.
 BLOCK = 1000
 
+# So many of the most frequent terms, at most, are broadcast with their weight.
+COMMON_TERMS = 200_000
+
 
 def explode_authors(papers: DataFrame) -> DataFrame:
     """One row per listed author; a name listed twice gives two rows."""
@@ -110,25 +115,66 @@ def tfidf_features(tf: DataFrame) -> DataFrame:
     return IDF(inputCol="tf_features", outputCol="tfidf_features").fit(tf).transform(tf)
 
 
-def tfidf(papers: DataFrame, stopwords: list[str] = tx.STOPWORDS) -> DataFrame:
-    """Exact-token TF-IDF: (paper_id, token, tf, tfidf).
+def _term_counts(papers: DataFrame, stopwords: list[str]) -> DataFrame:
+    """(paper_id, first, terms), landed: topic words of a paper as (token, n), a token once for each id.
 
-    Term counts are landed, so texts are split once for the three reads of them.
+    `first` adds up to the rows with any topic word. Only ids that come in several rows are grouped.
     """
-    words = papers.select(
-        "paper_id", F.posexplode(tx.topic_tokens(F.col("abstract"), stopwords)).alias("pos", "token")
+    rows = _counted(papers.select("paper_id", "abstract"), tx.topic_tokens(F.col("abstract"), stopwords))
+    terms = land(rows.select("paper_id", (F.size("terms") > 0).cast("long").alias("first"), "terms"), "term_counts")
+    repeated = land(key_counts(terms, ["paper_id"]).where("_n > 1").select(F.col("paper_id").alias("_id")), "repeated")
+    if repeated.isEmpty():
+        return terms
+    same = F.col("paper_id").eqNullSafe(F.col("_id"))
+    words = terms.join(repeated, same, "left_semi").select("paper_id", F.posexplode("terms").alias("pos", "x"))
+    merged = words.groupBy("paper_id", F.col("x.token").alias("token")).agg(
+        F.sum("x.n").alias("n"), F.count_if(F.col("pos") == 0).alias("first")
     )
-    counts = words.groupBy("paper_id", "token").agg(
-        F.count(F.lit(1)).alias("tf"), F.count_if(F.col("pos") == 0).alias("first")
-    )
-    tf = land(counts, "term_counts")
-    # Each paper with any token has one at position 0.
-    n = tf.agg(F.sum("first"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    merged = merged.select("paper_id", "first", F.array(F.struct("token", "n")).alias("terms"))
+    return land(terms.join(repeated, same, "left_anti").unionByName(merged), "merged_counts")
+
+
+def _least_common(df: DataFrame, most: int) -> tuple[int | None, int]:
+    """The least df of common terms, which are at most `most`, and the rows of all other terms."""
+    sizes = df.groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
+    # few rows: there are no more different counts than the root of twice the rows
+    sizes = sizes.withColumn("upto", F.sum("terms").over(Window.orderBy(F.desc("df"))))
+    common = F.col("upto") <= most
+    found = sizes.agg(
+        F.min(F.when(common, F.col("df"))).alias("cut"),
+        F.sum(F.when(~common, F.col("df") * F.col("terms"))).alias("rest"),
+    ).first()
+    return found["cut"], found["rest"] or 0
+
+
+def tfidf(papers: DataFrame, stopwords: list[str] = tx.STOPWORDS, common: int = COMMON_TERMS) -> DataFrame:
+    """Exact-token TF-IDF: (paper_id, token, tf, tfidf).
+
+    Words are counted inside the row and landed by paper, so texts are split once for the three reads
+    of them and no row of a word is shuffled to count it. The weights of the `common` most
+    frequent terms are broadcast; rows of the rest, a minor part, are joined by token, in as many
+    tasks as their number needs.
+    """
+    terms = _term_counts(papers, stopwords)
+    words = terms.select("paper_id", F.inline("terms")).withColumnRenamed("n", "tf")
+    df = land(words.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "term_papers")
+    n = terms.agg(F.sum("first"))
     idf = df.withColumn("idf", F.log((n.scalar() + 1) / (F.col("df") + 1)))
-    return spread_join(tf.select("paper_id", "token", "tf"), idf, "token", rows="df").select(
-        "paper_id", "token", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")
-    )
+    cut, rest = _least_common(df, common)
+    found = []
+    if cut is not None:
+        weights = F.broadcast(idf.where(F.col("df") >= cut))
+        found.append(words.join(weights, "token"))
+        words = words.join(F.broadcast(df.where(F.col("df") >= cut).select("token")), "token", "left_anti")
+        idf, df = idf.where(F.col("df") < cut), df.where(F.col("df") < cut)
+    if rest or not found:
+        tasks = math.ceil(rest / rows_per_task(words))
+        if tasks > int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            words = words.repartition(tasks, "token")
+        sizes = df.select("token", F.col("df").alias("_n"))
+        found.append(spread_join(words, idf, "token", sizes=sizes))
+    weighed = [x.select("paper_id", "token", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")) for x in found]
+    return weighed[0] if len(weighed) == 1 else weighed[0].unionByName(weighed[1])
 
 
 def temporal_topics(papers: DataFrame, stopwords: list[str] = tx.STOPWORDS) -> DataFrame:

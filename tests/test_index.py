@@ -1,6 +1,7 @@
 """The index build on a five-record fixture, and feed edge cases."""
 
 import json
+import math
 from collections import Counter
 from types import SimpleNamespace
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bibspark.catalog import q_analytics
+from bibspark.functions.text import STOPWORDS
 from bibspark.operators import analytics, clean
 from bibspark.plans import explore, index_build
 from bibspark.sources import feeds, tables
@@ -190,6 +192,54 @@ def test_words_are_counted_inside_the_row(spark):
     assert "Exchange" not in _plan(found) and "Aggregate" not in _plan(found)
 
 
+def _plain_tfidf(papers):
+    """What tfidf gives, in plain Python; rows of one id are one paper."""
+    tf, n = Counter(), 0
+    for paper, text, _ in papers:
+        words = [w for w in (text or "").lower().split(" ") if len(w) > 3 and w not in STOPWORDS]
+        tf.update((paper, w) for w in words)
+        n += bool(words)
+    df = Counter(w for _, w in tf)
+    return {k: (c, pytest.approx(c * math.log((n + 1) / (df[k[1]] + 1)))) for k, c in tf.items()}
+
+
+@pytest.mark.parametrize("common", [0, 3, 200_000])
+@pytest.mark.parametrize("rows_per_task", ["4", "1000000"])
+def test_tfidf_of_common_and_rare_terms(spark, common, rows_per_task):
+    """Terms broadcast, joined, joined in more tasks or hot give the same, also for ids that repeat or are null."""
+    papers = [(str(i), f"alpha beta word{i % 7} word{i} word{i} of {'gamma' * (i % 2)}", 2000) for i in range(40)]
+    papers += [("1", "beta beta delta", 2000), ("1", "delta", 2001), (None, "alpha", 2000), (None, "alpha word3", 2000),
+               ("x", "of it", 2000), ("y", "", 2000), ("z", None, 2000)]
+    spark.conf.set("bibspark.rowsPerTask", rows_per_task)
+    try:
+        found = analytics.tfidf(
+            spark.createDataFrame(papers, "paper_id string, abstract string, year int"), common=common).collect()
+    finally:
+        spark.conf.unset("bibspark.rowsPerTask")
+    assert len(found) == len(_plain_tfidf(papers))
+    assert {(r.paper_id, r.token): (r.tf, r.tfidf) for r in found} == _plain_tfidf(papers)
+
+
+def test_tfidf_of_no_words(spark):
+    papers = spark.createDataFrame([("1", "of it", 2000), ("2", None, 2000)], "paper_id string, abstract string, year int")
+    assert analytics.tfidf(papers).collect() == []
+
+
+def test_tfidf_shuffles_no_rows_of_common_terms(spark, monkeypatch):
+    """Words are counted in the row, and weights of common terms are broadcast."""
+    landed, land = {}, analytics.land
+    monkeypatch.setattr(analytics, "land", lambda df, name: landed.setdefault(name, _plan(df)) and land(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        papers = spark.createDataFrame([("1", "alpha beta beta", 2000), ("2", "alpha", 2000)],
+                                       "paper_id string, abstract string, year int")
+        found = analytics.tfidf(papers)
+        assert "hashpartitioning" not in _plan(found) and "Exchange" not in landed["term_counts"]
+        assert found.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom">
 <entry><id>u1</id><title>Two
 lines &amp; more</title><summary>Some
