@@ -86,3 +86,29 @@ def test_hot_ends_have_the_same_factors(graph, rows):
     finally:
         edges.sparkSession.conf.unset("bibspark.rowsPerTask")
     assert cool == hot
+
+
+def test_neighbour_mean_by_cells(graph):
+    edges, vectors = graph
+    wanted = defaultdict(list)
+    by = ends(edges, vectors)[1]
+    for e in edges.where("citing_id is not null and cited_id is not null").collect():
+        wanted[e.cited_id] += by[e.citing_id]
+    means = f.neighbour_mean(edges, vectors)
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate_metrics" not in plan and "SortAggregate" not in plan
+    got = {r.paper_id: r.vector for r in means.collect()}
+    assert got.keys() == {k for k, v in wanted.items() if v}
+    assert all(np.allclose(got[k], np.mean(wanted[k], axis=0)) for k in got)
+
+
+def test_vectors_of_different_lengths_are_not_summed(graph):
+    spark = graph[0].sparkSession
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0]), ("c", [5.0])], "paper_id string, vector array<float>")
+    edges = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "citing_id string, cited_id string")
+    assert {r.paper_id: r.vector for r in f.neighbour_mean(edges, vectors).collect()} == {"x": [2.0, 3.0], "y": [5.0]}
+    uneven = edges.union(spark.createDataFrame([("c", "x")], edges.schema))
+    with pytest.raises(Exception, match="different lengths"):
+        f.neighbour_mean(uneven, vectors).collect()
+    assert f.neighbour_mean(edges.limit(0), vectors).count() == 0
+    assert f.neighbour_mean(edges, vectors.limit(0)).count() == 0
