@@ -112,3 +112,24 @@ def test_vectors_of_different_lengths_are_not_summed(graph):
         f.neighbour_mean(uneven, vectors).collect()
     assert f.neighbour_mean(edges.limit(0), vectors).count() == 0
     assert f.neighbour_mean(edges, vectors.limit(0)).count() == 0
+
+
+def test_attention_by_cells(graph):
+    edges, vectors = graph
+    edges = edges.distinct()
+    found, by = ends(edges, vectors)
+    score = [(b * a * a).sum() / np.sqrt(8) * np.exp(-0.1 * t) for _, _, t, _, a, b in found]
+    sums, total = defaultdict(float), defaultdict(lambda: np.zeros(8))
+    for (_, cited, *_), s in zip(found, score):
+        sums[cited] += np.exp(s)
+    for (citing, cited, *_), s in zip(found, score):
+        total[cited] += np.exp(s) / sums[cited] * sum(by[citing])
+    att = f.temporal_attention(edges, vectors, 0.1)
+    assert att.columns == ["citing_id", "cited_id", "score", "alpha"]
+    plan = att._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    got = sorted((r.citing_id, r.cited_id, round(r.score, 6), round(r.alpha, 6)) for r in att.collect())
+    wanted = sorted((a, b, round(s, 6), round(np.exp(s) / sums[b], 6)) for (a, b, *_), s in zip(found, score))
+    assert len(got) == len(wanted) and np.allclose([g[2:] for g in got], [w[2:] for w in wanted], atol=2e-6)
+    out = {r.paper_id: r.vector for r in f.attention_sum(att, vectors).collect()}
+    assert out.keys() == total.keys() and all(np.allclose(out[k], total[k], atol=1e-6) for k in out)
