@@ -133,3 +133,20 @@ def test_attention_by_cells(graph):
     assert len(got) == len(wanted) and np.allclose([g[2:] for g in got], [w[2:] for w in wanted], atol=2e-6)
     out = {r.paper_id: r.vector for r in f.attention_sum(att, vectors).collect()}
     assert out.keys() == total.keys() and all(np.allclose(out[k], total[k], atol=1e-6) for k in out)
+
+
+def test_two_models_predict_in_one_pass(graph):
+    edges, vectors = graph
+    rng = np.random.default_rng(4)
+    factors = f.interactions(edges.drop("code"), vectors, multiplied=False)
+    intent, flag, other = (tr.DecayModel(c, n, rng.normal(size=c * (n + 1) + 1)) for c, n in ((3, 8), (2, 8), (2, 7)))
+    both = f.predict_jointly(factors, intent, flag, f.FACTORS)
+    assert both.columns == ["cited_id", "citing_id", "delta_t", "predicted_code", "raw_importance", "predicted_intent"]
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    columns = ["citing_id", "cited_id", "delta_t"]
+    one, two = (tr.predict(factors, m, f.FACTORS).orderBy(*columns, "code", "probability").collect() for m in (intent, flag))
+    got = both.collect()
+    assert sorted((r.citing_id, r.predicted_code) for r in got) == sorted((r.citing_id, r.code) for r in one)
+    assert np.allclose(sorted(r.raw_importance for r in got), sorted(r.probability[1] for r in two))
+    unfit = f.predict_jointly(factors, intent, other, f.FACTORS).collect()
+    assert all(r.raw_importance is None and r.predicted_code is not None for r in unfit)
